@@ -36,12 +36,16 @@ def format_date(col: Column, fmt: str = "yyyy-MM-dd") -> Column:
     return F.date_format(col, fmt)
 
 
-IST_OFFSET = "+05:30"
+IST_OFFSET_MINUTES = 330  # +05:30, no daylight saving
 
 
 def to_ist(utc_ts: Column) -> Column:
-    """Wall-clock time at the fixed +05:30 offset of a UTC instant."""
-    return F.from_utc_timestamp(utc_ts.cast("timestamp"), IST_OFFSET).cast("timestamp_ntz")
+    """Wall-clock time at the fixed +05:30 offset of a UTC wall-clock stamp.
+
+    A fixed-offset shift of a zone-less value, so the session time zone plays
+    no part.
+    """
+    return F.timestamp_add("MINUTE", F.lit(IST_OFFSET_MINUTES), utc_ts.cast("timestamp_ntz"))
 
 
 def ist_stamp(utc_ts: Column) -> Column:

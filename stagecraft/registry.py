@@ -43,3 +43,4 @@ def register(name: str, oracle: str | None = None):
 
 # Importing the query modules fills QUERIES.
 from .plans import queries as _queries  # noqa: E402,F401
+from .plans import reports as _reports  # noqa: E402,F401
