@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import running_sum
+from .sequences import BLOCK, assign_blocks, running_sum
 
 
 def bookmark_state(log: DataFrame) -> DataFrame:
@@ -48,8 +48,11 @@ def login_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
           .select("username", "ts", "seq", "action"))
     order = [F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last()]
     is_in = F.col("action") == "login"
+    # one block assignment (materialised) serves both running sums: blocks are
+    # contiguous in (user, ts, seq), hence also within every (user, level)
+    ev = assign_blocks(ev, ["username"], order, blocks)
     s = running_sum(ev, ["username"], order, F.when(is_in, 1).otherwise(-1), "_s",
-                    prev_min_out="_pm", blocks=blocks)
+                    prev_min_out="_pm")
     floor_before = F.least(F.lit(0), F.coalesce(F.col("_pm"), F.lit(0)))
     s = s.withColumn("_ignored", ~is_in & (F.col("_s") < floor_before))
     live = s.filter(~F.col("_ignored"))
@@ -57,11 +60,13 @@ def login_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
     # kept event equals the floor before it (kept events never lower it).
     depth = F.col("_s") - floor_before
     live = live.withColumn("_lvl", F.when(is_in, depth).otherwise(depth + 1))
-    k = running_sum(live, ["username", "_lvl"], order, F.when(is_in, 1).otherwise(0), "_k",
-                    blocks=blocks)
+    k = running_sum(live, ["username", "_lvl"], order, F.when(is_in, 1).otherwise(0), "_k")
     ins = k.filter(F.col("action") == "login").select(
         "username", "_lvl", "_k", F.col("ts").alias("login_time"))
     outs = k.filter(F.col("action") == "logout").select(
         "username", "_lvl", "_k", F.col("ts").alias("logout_time"))
     return (ins.join(outs, ["username", "_lvl", "_k"], "left")
             .select("username", "login_time", "logout_time"))
+
+
+__all__ = ["bookmark_state", "login_sessions", "BLOCK"]
