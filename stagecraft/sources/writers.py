@@ -59,15 +59,23 @@ def sheet_key(col=None):
 
 
 def history_export_by_key(history: DataFrame, out_dir: str, name: str = "history",
-                          key: str = KEY, fmt: str = "parquet") -> str:
-    """One output partition ("sheet") per key's digits; keys whose digits
+                          key: str = KEY, fmt: str = "parquet",
+                          directory_per_sheet: bool = False) -> str:
+    """History tagged with its sheet (the key's digits); keys whose digits
     coincide share a sheet, and the key column is kept to tell them apart.
-    Rows stay in history order inside each sheet file.
+
+    Written range-partitioned and sorted on (sheet, key, created): every file
+    is a contiguous, ordered run of sheets, and a sheet with a huge history is
+    split over several writer tasks instead of funnelling through one.  One
+    directory per sheet (``directory_per_sheet``) mirrors the workbook layout
+    but makes one small file set per key, so it is off by default.
     """
     df = history.withColumn("sheet", sheet_key(c(key)))
-    order = ["sheet", key] + [n for n in ("Created Date",) if n in history.columns]
-    df = df.repartition("sheet").sortWithinPartitions(*[c(n).asc_nulls_last() for n in order])
-    return write_table(df, out_dir, name, fmt, partition_by=["sheet"])
+    order = [c(n).asc_nulls_last() for n in
+             ["sheet", key] + [n for n in ("Created Date",) if n in history.columns]]
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return write_table(df, out_dir, name, fmt,
+                       partition_by=["sheet"] if directory_per_sheet else None)
 
 
 def details_and_history_export(details: DataFrame, history: DataFrame, out_dir: str,
