@@ -96,22 +96,40 @@ def existing_new_counts(p2rdb: DataFrame, p1rdb: DataFrame) -> DataFrame:
 
 
 def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str,
-              fmt: str = "parquet") -> dict[str, str]:
-    """Write every built table under ``out_dir`` (overwrite), status table last,
-    computed from the *written* merged tables.  Returns name -> path.
+              fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Write every built table under ``out_dir`` (overwrite) in three stages and
+    return the tables read back from the files.
+
+    1. the cleaned snapshots and logs (each reads its raw input once);
+    2. dedupe and the incremental merge, from the *written* cleaned tables;
+    3. the status table, from the written merged tables.
+
+    Every stage starts from stored files, so no table re-derives another's
+    lineage and a lost executor never forces the cleaning chain to rerun.
     """
     from ..sources.writers import write_table
 
-    t = build_tables(tables_in["p1"], tables_in["p2"], tables_in["dsr1"], tables_in["dsr2"],
-                     params)
-    spark = t["p1rdb"].sparkSession
-    paths = {}
-    for name in ("p1rdb", "p2rdb", "dsr1rdb", "dsr2rdb", "main_rdb", "weekly_rdb",
-                 "modified_rdb", "p2rdb_filtered", "dsr2rdb_filtered"):
-        if t.get(name) is not None:
-            paths[name] = write_table(t[name], out_dir, name, fmt)
-    rd = {n: spark.read.format(fmt).load(p) for n, p in paths.items()}
-    srl = sales_reporting(rd["p2rdb"], rd["p1rdb"], rd["dsr2rdb"], rd["modified_rdb"],
+    spark = tables_in["p1"].sparkSession
+    cl = params.cleaning()
+
+    def store(name: str, df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        return spark.read.format(fmt).load(write_table(df, out_dir, name, fmt))
+
+    out: dict[str, DataFrame] = {
+        "p1rdb": store("p1rdb", clean_potentials(tables_in["p1"], **cl)),
+        "p2rdb_all": store("p2rdb_all", clean_new_snapshot(tables_in["p2"], params)),
+        "dsr1rdb": store("dsr1rdb", clean_activities(tables_in["dsr1"], **cl)),
+        "dsr2rdb": store("dsr2rdb", clean_activities(tables_in["dsr2"], **cl)),
+    }
+    out["p2rdb_duplicates"] = store("p2rdb_duplicates", duplicate_rows(out["p2rdb_all"]))
+    out["p2rdb"] = store("p2rdb", dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order))
+    merged = incremental_merge(out["p1rdb"], out["p2rdb"], out["dsr1rdb"], out["dsr2rdb"])
+    for name in ("main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb",
+                 "modified_rdb"):
+        out[name] = store(name, merged[name])
+    srl = sales_reporting(out["p2rdb"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
                           dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak)
-    paths["sales_reporting_logic"] = write_table(srl, out_dir, "sales_reporting_logic", fmt)
-    return paths
+    out["sales_reporting_logic"] = store("sales_reporting_logic", srl)
+    return out

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.build import BuildParams, build_tables
+from .plans.build import BuildParams, build_tables, run_build
 from .sources import derived as dv
 
 PARAMS = BuildParams(exec_aliases=dv.EXEC_ALIASES, exec_suffixed=dv.EXEC_SUFFIXED,
@@ -20,10 +20,32 @@ PARAMS = BuildParams(exec_aliases=dv.EXEC_ALIASES, exec_suffixed=dv.EXEC_SUFFIXE
                      dsr_tiebreak=tuple(dv.DSR_TIEBREAK), main_tiebreak=tuple(dv.MAIN_TIEBREAK))
 
 
+_TABLES: dict = {}
+
+
+def raw_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"p1": dv.p1(spark, sf_dir), "p2": dv.p2(spark, sf_dir),
+            "dsr1": dv.dsr1(spark, sf_dir), "dsr2": dv.dsr2(spark, sf_dir)}
+
+
+def lazy_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All built tables over ``sf_dir`` as one lazy plan each (nothing written)."""
+    r = raw_inputs(spark, sf_dir)
+    return build_tables(r["p1"], r["p2"], r["dsr1"], r["dsr2"], PARAMS)
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All built tables over ``sf_dir`` (lazy)."""
-    return build_tables(dv.p1(spark, sf_dir), dv.p2(spark, sf_dir), dv.dsr1(spark, sf_dir),
-                        dv.dsr2(spark, sf_dir), PARAMS)
+    """All built tables over ``sf_dir``, as the production build leaves them:
+    written once per session and folder under the session's shared
+    ``spark.checkpoint.dir`` (``run_build``) and read back from the files.
+    Report queries then start from stored tables instead of re-deriving and
+    re-cleaning the inputs in every plan."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        from .sources.writers import shared_dir
+        _TABLES[key] = run_build(raw_inputs(spark, sf_dir), PARAMS,
+                                 shared_dir(spark, "stagecraft-build"))
+    return _TABLES[key]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

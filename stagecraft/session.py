@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "stagecraft") -> SparkSession:
+                  app: str = "stagecraft", broadcast_bytes: int = 1 << 20) -> SparkSession:
     """A local session with AQE on, the UI off and UTC as session zone."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
@@ -19,6 +19,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
+             # small local inputs would otherwise broadcast a fact table and leave the
+             # per-row work on the other side's single coalesced partition; keep
+             # broadcasts to genuinely small tables, as a large cluster plan would
+             .config("spark.sql.autoBroadcastJoinThreshold", str(broadcast_bytes))
              .config("spark.driver.memory", os.environ.get("STAGECRAFT_DRIVER_MEM", "8g"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SMOKE
 from stagecraft.columns import KEY, c
 from stagecraft.operators import grid as G
-from stagecraft.registry import tables
+from stagecraft.registry import lazy_tables, tables
 
 
 def test_build_invariants(spark):
@@ -29,7 +29,7 @@ def test_grid_sums_and_partition_independence(spark):
     try:
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            again = G.stage_movement_grid(tables(spark, SMOKE)["sales_reporting_logic"])
+            again = G.stage_movement_grid(lazy_tables(spark, SMOKE)["sales_reporting_logic"])
             assert sorted(tuple(r) for r in again.collect()) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
