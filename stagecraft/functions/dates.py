@@ -12,14 +12,17 @@ DAYFIRST_FORMAT = "d/M/yyyy H:mm"
 def parse_dayfirst(col: Column, formats=(DAYFIRST_FORMAT,)) -> Column:
     """Parse text day-first; text that fits none of ``formats`` becomes null.
 
-    Strict per format (``try_to_timestamp`` never raises under ANSI).  Several
-    formats are tried in order with ``coalesce``.  The result is a
-    ``timestamp_ntz`` (source stamps carry no zone).  Input that already is a
-    timestamp is only cast.
+    Strict per format; several formats are tried in order with ``coalesce``.
+    The result is a ``timestamp_ntz`` (source stamps carry no zone) produced by
+    ``to_timestamp_ntz``, so no session time zone is involved (a wall-clock
+    time inside a daylight-saving gap stays as written).  ``to_timestamp_ntz``
+    raises on bad text under ANSI mode, so it only runs where the non-raising
+    ``try_to_timestamp`` has accepted the text with the same format.
     """
-    parsed = [F.try_to_timestamp(col.cast("string"), F.lit(f)) for f in formats]
-    out = parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
-    return out.cast("timestamp_ntz")
+    text = col.cast("string")
+    parsed = [F.when(F.try_to_timestamp(text, F.lit(f)).isNotNull(),
+                     F.to_timestamp_ntz(text, F.lit(f))) for f in formats]
+    return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
 
 
 def parse_iso(col: Column) -> Column:

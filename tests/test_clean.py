@@ -121,3 +121,14 @@ def test_map_owner_with_frame(spark):
     got = sorted(r[0] or "" for r in CL.map_owner(df, m).collect())
     assert got == ["", "O2", "o1@example.org"]
     assert df.select(c("Potential Owner")).first()[0] == "O1"
+
+
+def test_parse_dates_zone_free(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2/4/2000 2:30",), ("31/02/2000 1:00",)], "d string")
+        got = [r[0] for r in CL.parse_dates_dayfirst(df, ["d"]).collect()]
+        assert got == [dt.datetime(2000, 4, 2, 2, 30), None]   # inside the DST gap, unshifted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
