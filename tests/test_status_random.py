@@ -81,3 +81,32 @@ def test_status_random_vs_rowwise(spark):
     assert got == want
     cases = {v == (None,) * 8 for v in want.values()}
     assert cases == {True, False}    # both filled and untouched rows occur
+
+
+def test_status_with_hot_key(spark):
+    """One key holds a third of all activity rows (many same-day ties)."""
+    rnd = random.Random(5)
+    keys = [f"k{i}" for i in range(40)]
+    srl = [(k, T0 + dt.timedelta(days=3, hours=12), "S", None, None, None) for k in keys]
+    dsr = []
+    for i in range(900):
+        k = "k0" if i % 3 == 0 else rnd.choice(keys[1:])
+        day = rnd.randrange(5)
+        dsr.append((k, T0 + dt.timedelta(days=day, hours=9), T0 + dt.timedelta(days=day, hours=rnd.randrange(3)),
+                    f"O{i % 4}", f"N{i % 5}", rnd_ts(rnd), rnd_ts(rnd), i))
+    main = [(k, T0, "M", None, None, None, j) for j, k in enumerate(keys)]
+    srl_df = spark.createDataFrame(srl, "`Potential No.` string, `Modified Date` timestamp_ntz, "
+                                   "Stage string, `Last Contact Date` timestamp_ntz, "
+                                   "`Next Followup Date` timestamp_ntz, `Closing Date` timestamp_ntz")
+    dsr_df = spark.createDataFrame(dsr, "`Potential No.` string, `Contacted Date` timestamp_ntz, "
+                                   "`Created Date` timestamp_ntz, `Original Stage` string, "
+                                   "`New Stage` string, `Next Followup Date` timestamp_ntz, "
+                                   "`Closing Date` timestamp_ntz, seq long")
+    main_df = spark.createDataFrame(main, "`Potential No.` string, `Modified Date` timestamp_ntz, "
+                                    "Stage string, `Last Contact Date` timestamp_ntz, "
+                                    "`Next Followup Date` timestamp_ntz, "
+                                    "`Closing Date` timestamp_ntz, _seq long")
+    got = {r["Potential No."]: tuple(r[c] for c in STATUS) for r in
+           status_six_cases(srl_df, dsr_df, main_df, dsr_tiebreak=["seq"],
+                            main_tiebreak=["_seq"]).collect()}
+    assert got == brute(srl, dsr, main)
