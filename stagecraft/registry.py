@@ -40,7 +40,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ``spark.checkpoint.dir`` (``run_build``) and read back from the files.
     Report queries then start from stored tables instead of re-deriving and
     re-cleaning the inputs in every plan."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         from .sources.writers import shared_dir
         _TABLES[key] = run_build(raw_inputs(spark, sf_dir), PARAMS,

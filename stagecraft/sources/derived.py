@@ -43,7 +43,7 @@ _READS: dict = {}
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver's table ``name``; the lazy reader (file listing, footer
     schema) is built once per session and folder and then reused."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _READS:
         _READS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _READS[key]
