@@ -162,7 +162,7 @@ def filter_min_date(df: DataFrame, min_date=DEFAULT_MIN_DATE,
         cond = c(modified) >= t
     else:
         return df
-    return df.filter(F.coalesce(cond, F.lit(False)))
+    return df.filter(cond)   # null -> dropped, as NaT compares false
 
 
 def filter_key_not_null(df: DataFrame, key: str = KEY) -> DataFrame:

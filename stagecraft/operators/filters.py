@@ -98,10 +98,12 @@ def filter_forced_region(df: DataFrame, user: str, forced: dict | None = None,
 
 
 def any_date_in_range(df: DataFrame, lo, hi_excl, cols=SRL_DATE_COLUMNS) -> Column:
+    """OR of range tests; a null date makes its test null, which a filter treats
+    as false, so the plain OR (pushable to the Parquet scan) is exact."""
     cols = present(df, cols)
     if not cols:
         return F.lit(False)
-    return reduce(or_, [F.coalesce(in_range(c(n), lo, hi_excl), F.lit(False)) for n in cols])
+    return reduce(or_, [in_range(c(n), lo, hi_excl) for n in cols])
 
 
 def filter_any_date_in_range(df: DataFrame, lo, hi_excl, cols=SRL_DATE_COLUMNS) -> DataFrame:
