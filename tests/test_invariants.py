@@ -33,3 +33,17 @@ def test_grid_sums_and_partition_independence(spark):
             assert sorted(tuple(r) for r in again.collect()) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_independent_of_input_partitioning(spark):
+    from stagecraft.plans.build import build_tables
+    from stagecraft.registry import PARAMS, raw_inputs
+
+    def status(parts):
+        r = raw_inputs(spark, SMOKE)
+        if parts:
+            r = {k: v.repartition(parts) for k, v in r.items()}
+        srl = build_tables(r["p1"], r["p2"], r["dsr1"], r["dsr2"], PARAMS)["sales_reporting_logic"]
+        return sorted((tuple(str(x) for x in row) for row in srl.collect()))
+
+    assert status(None) == status(7)
