@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..columns import (ALERT_PINK_STAGES, ALERT_RED_STAGE, CLOSED_STAGE, FLAG,
                        GRID_EXCLUDED_STAGES, GRID_MAX_ROWS, GRID_METRICS, KEY, c)
-from ..functions.text import NO_STAGE_NUMBER, stage_number, stage_sort_number
+from ..functions.text import NO_STAGE_NUMBER, stage_sort_number
 
 PS, CS, STAGE = "Previous Status Stage", "Current Status Stage", "Stage"
 STAGE_NAME = "Stage Name"
@@ -170,4 +170,4 @@ def drill_down_by_metric(df: DataFrame, stages, key: str = KEY) -> DataFrame:
 __all__ = ["stage_universe", "stage_movement_grid", "filter_stage_at_least",
            "filter_exclude_stages", "grid_total_row", "sort_stage_number", "limit_rows",
            "grid_alerts", "finish_grid", "drill_predicate", "drill_down",
-           "drill_down_by_metric", "stage_number"]
+           "drill_down_by_metric"]

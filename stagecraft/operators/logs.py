@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import BLOCK, assign_blocks, running_sum
+from .sequences import assign_blocks, running_sum
 
 
 def bookmark_state(log: DataFrame) -> DataFrame:
@@ -69,4 +69,4 @@ def login_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
             .select("username", "login_time", "logout_time"))
 
 
-__all__ = ["bookmark_state", "login_sessions", "BLOCK"]
+__all__ = ["bookmark_state", "login_sessions"]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import (CLOSED_STAGE, DSR_TYPE, FLAG, KEY, SRL_COLUMNS, STATUS_COLUMNS,
+from ..columns import (DSR_TYPE, FLAG, KEY, SRL_COLUMNS, STATUS_COLUMNS,
                        STATUS_DATE_COLUMNS, c, present)
 from .ranking import top_k_per_key
 
@@ -220,4 +220,4 @@ def sales_reporting(p2rdb: DataFrame, p1rdb: DataFrame, dsr2rdb: DataFrame,
 
 
 __all__ = ["activity_day_summary", "main_key_summary", "status_six_cases",
-           "flag_new_existing", "common_new_counts", "sales_reporting", "CLOSED_STAGE"]
+           "flag_new_existing", "common_new_counts", "sales_reporting"]

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..columns import (CATEGORY_MAPPING, DSR_DATES, DSR_RENAME, KEY, P_DATES, P_RENAME,
-                       SRL_COLUMNS, STAGE_MAPPING, c)
+from ..columns import (CATEGORY_MAPPING, KEY, P_DATES, P_RENAME, SRL_COLUMNS,
+                       STAGE_MAPPING, c)
 from ..operators import clean as CL
 from ..operators import grid as G
 from ..operators import merge as MG
 from ..operators import ranking as RK
 from ..operators import status as ST
-from ..registry import PARAMS, register, tables
+from ..registry import register, tables
 from ..sources import derived as dv
 from . import build as B
 
@@ -156,10 +156,6 @@ def q_set_difference(spark, sf_dir):
 
 # -------------------------------------------------------------- cleaning steps
 
-_P2_RAW = "SELECT * FROM v_p2"
-_DSR2_RAW = "SELECT * FROM v_dsr2"
-
-
 @register("drop_columns_if_present", O.with_ctes("SELECT * EXCLUDE (k, ck) FROM v_p2"))
 def q_drop_columns(spark, sf_dir):
     return CL.drop_columns_if_present(dv.p2(spark, sf_dir), ["Record Id", "k", "ck"])
@@ -526,5 +522,3 @@ def q_row_number_display(spark, sf_dir):
     w = Window.orderBy(*G._display_order(F.col(G.STAGE_NAME)))
     return g.withColumn("No.", F.row_number().over(w).cast("bigint"))
 
-
-__all__ = ["PARAMS", "DSR_DATES", "DSR_RENAME", "_P2_RAW", "_DSR2_RAW"]

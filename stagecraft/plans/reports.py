@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..columns import (DETAIL_GROUPS, DRILL_COLUMNS, KEY, SRL_DATE_COLUMNS, c, present)
+from ..columns import DETAIL_GROUPS, DRILL_COLUMNS, KEY, SRL_DATE_COLUMNS, c
 from ..functions import periods as PD
 from ..functions.dates import format_date, ist_stamp
 from ..functions.text import digits_only, is_blank, stage_number
@@ -717,5 +717,3 @@ def q_column_width_profile(spark, sf_dir):
     det = LK.potential_details(tables(spark, sf_dir)["modified_rdb"], tiebreak=dv.MAIN_TIEBREAK)
     return WR.column_width_profile(det)
 
-
-__all__ = ["present"]
