@@ -10,6 +10,7 @@ cleaning chain).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -105,31 +106,37 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
     3. the status table, from the written merged tables.
 
     Every stage starts from stored files, so no table re-derives another's
-    lineage and a lost executor never forces the cleaning chain to rerun.
+    lineage and a lost executor never forces the cleaning chain to rerun.  The
+    independent tables of a stage are written as concurrent jobs, so small jobs
+    do not leave the rest of the cluster idle.
     """
     from ..sources.writers import write_table
 
     spark = tables_in["p1"].sparkSession
     cl = params.cleaning()
 
-    def store(name: str, df: DataFrame | None) -> DataFrame | None:
-        if df is None:
-            return None
-        return spark.read.format(fmt).load(write_table(df, out_dir, name, fmt))
-
-    out: dict[str, DataFrame] = {
-        "p1rdb": store("p1rdb", clean_potentials(tables_in["p1"], **cl)),
-        "p2rdb_all": store("p2rdb_all", clean_new_snapshot(tables_in["p2"], params)),
-        "dsr1rdb": store("dsr1rdb", clean_activities(tables_in["dsr1"], **cl)),
-        "dsr2rdb": store("dsr2rdb", clean_activities(tables_in["dsr2"], **cl)),
-    }
-    out["p2rdb_duplicates"] = store("p2rdb_duplicates", duplicate_rows(out["p2rdb_all"]))
-    out["p2rdb"] = store("p2rdb", dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order))
+    def store_all(frames: dict) -> dict:
+        """Write independent tables as concurrent jobs; read each back."""
+        live = {n: f for n, f in frames.items() if f is not None}
+        with ThreadPoolExecutor(max_workers=max(1, len(live))) as pool:
+            paths = dict(zip(live, pool.map(lambda n: write_table(live[n], out_dir, n, fmt),
+                                            live)))
+        return {n: spark.read.format(fmt).load(p) for n, p in paths.items()}
+
+    out = store_all({
+        "p1rdb": clean_potentials(tables_in["p1"], **cl),
+        "p2rdb_all": clean_new_snapshot(tables_in["p2"], params),
+        "dsr1rdb": clean_activities(tables_in["dsr1"], **cl),
+        "dsr2rdb": clean_activities(tables_in["dsr2"], **cl),
+    })
+    out.update(store_all({
+        "p2rdb_duplicates": duplicate_rows(out["p2rdb_all"]),
+        "p2rdb": dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order),
+    }))
     merged = incremental_merge(out["p1rdb"], out["p2rdb"], out["dsr1rdb"], out["dsr2rdb"])
-    for name in ("main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb",
-                 "modified_rdb"):
-        out[name] = store(name, merged[name])
+    out.update(store_all({name: merged[name] for name in (
+        "main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb", "modified_rdb")}))
     srl = sales_reporting(out["p2rdb"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
                           dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak)
-    out["sales_reporting_logic"] = store("sales_reporting_logic", srl)
+    out.update(store_all({"sales_reporting_logic": srl}))
     return out
