@@ -8,6 +8,7 @@ representative values; the operators themselves take them as arguments.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ PARAMS = BuildParams(exec_aliases=dv.EXEC_ALIASES, exec_suffixed=dv.EXEC_SUFFIXE
 
 
 _TABLES: dict = {}
+_LOCK = threading.Lock()
 
 
 def raw_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -41,11 +43,12 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Report queries then start from stored tables instead of re-deriving and
     re-cleaning the inputs in every plan."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TABLES:
-        from .sources.writers import shared_dir
-        _TABLES[key] = run_build(raw_inputs(spark, sf_dir), PARAMS,
-                                 shared_dir(spark, "stagecraft-build"))
-    return _TABLES[key]
+    with _LOCK:
+        if key not in _TABLES:
+            from .sources.writers import shared_dir
+            _TABLES[key] = run_build(raw_inputs(spark, sf_dir), PARAMS,
+                                     shared_dir(spark, "stagecraft-build"))
+        return _TABLES[key]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
