@@ -54,14 +54,72 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Presentation of registered outputs for the cross-engine comparison (the
+# operators themselves are unchanged).  Pandas conversion turns a DuckDB DATE
+# into a timestamp but a Spark DATE into a date object, and an integer column
+# with nulls into a nullable integer (DuckDB) or a float (Spark).  Calendar-date
+# columns are therefore shown as midnight timestamps, and the test fixture's
+# integer lineage ids -- null on the rows of the other source in the unioned
+# tables -- as text, identically on both sides.
+_DATE, _TEXT = ("timestamp_ntz", "TIMESTAMP"), ("string", "VARCHAR")
+_LINEAGE_IDS = ["ck", "_seq", "l_linenumber", "l_partkey", "l_suppkey"]
+_DETAIL_DATES = ["Created Date", "Modified Date", "Next Followup Date", "Closing Date",
+                 "Last Contact Date"]
+PRESENTATION: dict[str, dict[str, tuple[str, str]]] = {
+    "bookmarked_details": dict.fromkeys(_DETAIL_DATES, _DATE),
+    "details_and_history_export": dict.fromkeys(_DETAIL_DATES, _DATE),
+    "drill_down_details": dict.fromkeys(
+        ["Created Date", "Last Contact Date", "Next Followup Date", "Closing Date"], _DATE),
+    "find_potential": dict.fromkeys(_DETAIL_DATES, _DATE),
+    "fiscal_year_window": dict.fromkeys(["as_of", "current_fy_start", "current_fy_end"], _DATE),
+    "history_export_by_key": dict.fromkeys(["Created Date", "Closing Date"], _DATE),
+    "month_window": dict.fromkeys(["as_of", "current_month_start", "current_month_end",
+                                   "last_month_start", "last_month_end"], _DATE),
+    "period_bounds": dict.fromkeys(["as_of", "start_date", "end_date"], _DATE),
+    "period_label": dict.fromkeys(["as_of"], _DATE),
+    "potential_details": dict.fromkeys(_DETAIL_DATES, _DATE),
+    "potential_details_projection": dict.fromkeys(_DETAIL_DATES, _DATE),
+    "quarter_window": dict.fromkeys(["as_of", "current_quarter_start", "current_quarter_end"],
+                                    _DATE),
+    "to_date_part": dict.fromkeys(["Modified Date", "CS Contacted On Date"], _DATE),
+    "week_window": dict.fromkeys(["as_of", "last_week_start", "last_week_end",
+                                  "current_week_start", "current_week_end"], _DATE),
+    "dedupe_latest": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "filter_in_keys_blank_report": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "filter_is_activity": dict.fromkeys(["ck", "_seq"], _TEXT),
+    "filter_is_main": dict.fromkeys(["l_linenumber", "l_partkey", "l_suppkey"], _TEXT),
+    "filter_non_blank": dict.fromkeys(["ck", "_seq"], _TEXT),
+    "incremental_merge": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "keys_semi_filter": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "union_by_name": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "weekly_rdb": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+}
+
+
+def _present(name: str, df: DataFrame) -> DataFrame:
+    casts = PRESENTATION.get(name)
+    if not casts:
+        return df
+    return df.withColumns({n: df[f"`{n}`"].cast(spark_t) for n, (spark_t, _) in casts.items()
+                           if n in df.columns})
+
 
 def register(name: str, oracle: str | None = None):
     """Register a query; ``oracle`` is its DuckDB SQL (omitted when the
     operator is not expressible in one SQL statement)."""
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _present(name, fn(spark, sf_dir))
+        query.__name__ = fn.__name__
+        query.__doc__ = fn.__doc__
+        QUERIES[name] = query
         if oracle is not None:
-            ORACLES[name] = oracle
+            sql = oracle
+            if name in PRESENTATION:
+                casts = ", ".join(f'CAST("{n}" AS {duck_t}) AS "{n}"'
+                                  for n, (_, duck_t) in PRESENTATION[name].items())
+                sql = f"SELECT * REPLACE ({casts}) FROM ({oracle}) AS q"
+            ORACLES[name] = sql
         return fn
     return deco
 
