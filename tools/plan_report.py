@@ -40,8 +40,10 @@ def summarise(plan: str) -> list[str]:
     scans = set()
     for m in re.finditer(r"FileScan parquet [^\n]*?PushedFilters: (.*?), ReadSchema: "
                          r"(struct<[^\n]*)", clean):
-        ncols = m.group(2).count(":")
-        scans.add(f"scan: {ncols} columns read, pushed {m.group(1)[:160]}")
+        schema = m.group(2)
+        ncols = schema.count(":")
+        shown = f"{ncols}+ (schema text truncated)" if "..." in schema else str(ncols)
+        scans.add(f"scan: {shown} columns read, pushed {m.group(1)[:160]}")
     out += sorted(scans)
     return out
 
