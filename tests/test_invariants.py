@@ -47,3 +47,20 @@ def test_independent_of_input_partitioning(spark):
         return sorted((tuple(str(x) for x in row) for row in srl.collect()))
 
     assert status(None) == status(7)
+
+
+def test_independent_of_session_time_zone(spark):
+    """Every stamp is zone-less (timestamp_ntz), so a non-UTC session (with a
+    daylight-saving zone) must give the same status table."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+
+    def status():
+        srl = lazy_tables(spark, SMOKE)["sales_reporting_logic"]
+        return sorted(tuple(str(x) for x in row) for row in srl.collect())
+
+    try:
+        utc = status()
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert status() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
