@@ -37,7 +37,7 @@ def filter_in_keys_blank_report(df: DataFrame, keys: DataFrame, key: str = KEY,
 def filter_is_activity(df: DataFrame) -> DataFrame:
     """activity rows (``DSR Type`` set)."""
     if DSR_TYPE not in df.columns:
-        return df.limit(0)
+        return df.filter(F.lit(False))
     return df.filter(c(DSR_TYPE).isNotNull())
 
 
@@ -125,7 +125,7 @@ def _report_in_range_or_present(df: DataFrame, pair, lo, hi_excl) -> DataFrame:
         return df.filter(any_date_in_range(df, lo, hi_excl, pair))
     cols = present(df, pair)
     if not cols:
-        return df.limit(0)
+        return df.filter(F.lit(False))
     return df.filter(reduce(or_, [c(n).isNotNull() for n in cols]))
 
 
