@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .packing import op10_packing
 from .piece_codec import op5_sentencepiece
+from .simhash import op7_simhash_neardup
+from .substring_dedup import ORACLE as OP6_SQL
+from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
 from .token_store import op1_token_store
 
@@ -11,7 +14,11 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_token_counts": op2_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_simhash_neardup": op7_simhash_neardup,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
+}
