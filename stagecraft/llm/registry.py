@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
 from .packing import op10_packing
 from .piece_codec import op5_sentencepiece
 from .simhash import op7_simhash_neardup
@@ -13,6 +14,7 @@ from .token_store import op1_token_store
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_token_counts": op2_token_counts,
+    "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_neardup": op7_simhash_neardup,
