@@ -10,6 +10,8 @@ from .substring_dedup import ORACLE as OP6_SQL
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
 from .token_store import op1_token_store
+from .warc import ORACLE as OP9_SQL
+from .warc import op9_warc
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -18,9 +20,11 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_neardup": op7_simhash_neardup,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
