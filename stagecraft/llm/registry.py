@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .order_minhash import op8_order_minhash
 from .packing import op10_packing
 from .piece_codec import op5_sentencepiece
 from .simhash import op7_simhash_neardup
@@ -20,11 +21,13 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_neardup": op7_simhash_neardup,
+    "op8_order_minhash": op8_order_minhash,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
+    "op8_order_minhash": op8_order_minhash,
     "op9_warc": OP9_SQL,
 }
