@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .neighbours import op3_nearest
 from .order_minhash import op8_order_minhash
 from .packing import op10_packing
 from .piece_codec import op5_sentencepiece
@@ -17,6 +18,7 @@ from .warc import op9_warc
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_token_counts": op2_token_counts,
+    "op3_nearest": op3_nearest,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
