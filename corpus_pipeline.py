@@ -1,13 +1,76 @@
-"""Corpus pipeline: language, near duplicates, repeated passages, packed sequences."""
+"""Corpus pipeline over ``documents``: language, near duplicates, repeats, packing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all rows its
+predecessor kept.  All but the last return the columns of ``documents``.
+
+* ``language``: documents in no learnt language go (no letter, null text, or nothing in
+  common with any language's profile).  Profiles are learnt from the stage's own labelled
+  rows; where none is labelled, every text with a letter stays.
+* ``near_duplicates``: of each group of SimHash-linked documents (3-word shingles, 3 bits)
+  the one with the smallest ``doc_id`` stays.  Rows that repeat an id are one document,
+  whose row with the smallest text hash stays; rows without an id have no name to stand
+  for a group, and stay.
+* ``repeats``: words of 50-word windows that also start in a smaller document are cut;
+  a document of which nothing is left goes, one without repeats keeps its text as it is,
+  and ``n_chars`` follows the text.
+* ``packing``: the pieces of 4,096-token sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stagecraft.llm import language_id, packing, simhash, substring_dedup
+from stagecraft.llm.common import materialize
+from stagecraft.llm.library_ids import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs, language_id.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = materialize(simhash.near_duplicates(docs, shingle=3, max_bits=3), "near-duplicates")
+    first = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
+             .agg(F.count(F.lit(1)).alias("rows")))
+    first = materialize(first, "representatives")
+    named = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    if first.where("rows > 1").limit(1).count():
+        text = F.xxhash64("text")
+        others = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]
+        named = (named.groupBy("doc_id").agg(F.min_by(others[0], text).alias("row"))
+                 .select("row.*"))
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
+    cols = []
+    for c in docs.columns:
+        if c == "text":
+            cols.append(F.col("text"))
+        elif c == "n_chars":
+            cols.append(F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars"))
+                        .cast(docs.schema[c].dataType).alias(c))
+        else:
+            cols.append(F.col("row").getField(c).alias(c))
+    return found.select(*cols)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packed)]
+
+#: Tokenisation, profiles and SimHash are beyond SQL; tests compare with a brute-force run.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

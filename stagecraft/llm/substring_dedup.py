@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, slices
 
@@ -113,24 +114,32 @@ def anchors_of(words: list[bytes], window: int, seed: int):
 ANCHORS = "anchor long, run long, doc long, tie int, pos int, head int, tail int"
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc, tie, text): the id with null as the largest, and a hash that tells texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
-            .select("doc", F.hash("text").alias("tie"), F.col("text").cast("binary").alias("text")))
+    rest = [F.struct(F.col("text").isNull().alias("no_text"),
+                     F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")).alias("rest")] * carry
+    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *rest)
+            .select("doc", F.hash("text").alias("tie"), F.col("text").cast("binary").alias("text"), *["rest"] * carry))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc, tie, body): texts compressed, for a smaller shuffle."""
+def _packed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc, tie, body): texts compressed, for a smaller shuffle.
+
+    With ``carry`` a struct ``rest`` holds all columns but the text, and whether it was null.
+    """
     def squeeze(batches):
         import zstandard
         packer = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 512):
-            yield pa.RecordBatch.from_pydict({
-                "doc": batch.column(0), "tie": batch.column(1),
-                "body": pa.array([packer.compress(t) for t in batch.column(2).to_pylist()], pa.binary())})
+            body = pa.array([packer.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], body, *batch.columns[3:]],
+                names=["doc", "tie", "body", "rest"][:batch.num_columns])
 
-    return _documents(docs).mapInArrow(squeeze, "doc long, tie int, body binary")
+    rows = _documents(docs, carry)
+    schema = T.StructType([f if f.name != "text" else T.StructField("body", T.BinaryType()) for f in rows.schema])
+    return rows.mapInArrow(squeeze, schema)
 
 
 def _text(body: bytes) -> bytes:
@@ -242,17 +251,26 @@ def kept_words(words: list[bytes], spans) -> list[bytes]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept (text), spans removed.
+    """All columns of ``docs`` as struct ``row``, and text, n_words, n_removed, spans.
 
-    ``kept`` is the original text where nothing was removed, else the words left, joined
-    by one space.
+    ``text`` is the original (null as null) where nothing was removed, else the words left,
+    joined by one space.
     """
-    return _apply(docs, window, seed, lambda text, words, left, n: text if not n else b" ".join(left), "kept")
+    found = _apply(docs, window, seed, lambda text, left, n: text if not n else b" ".join(left), "text", carry=True)
+    return found.select("rest.row", F.when(~F.col("rest.no_text"), F.col("text")).alias("text"),
+                        "n_words", "n_removed", "spans")
 
 
-def _apply(docs, window, seed, shape, name):
+def kept_digests(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the words left, joined by one space."""
+    return _apply(docs, window, seed, lambda text, left, n: hashlib.sha256(b" ".join(left)).hexdigest().encode(),
+                  "kept_sha256").drop("spans")
+
+
+def _apply(docs, window, seed, shape, name, carry=False):
     found = repeats(docs, window, seed)
-    rows = _packed(docs).join(found, ["doc", "tie"], "left").select("doc", "body", "spans")
+    rows = _packed(docs, carry).join(found, ["doc", "tie"], "left").select("doc", "body", "spans", *["rest"] * carry)
+    span = "array<struct<from:int,to:int>>"
 
     def cut(batches):
         for batch in slices(batches, 256):
@@ -263,23 +281,20 @@ def _apply(docs, window, seed, shape, name):
                 left = kept_words(words, spans)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
-                kept.append(shape(text, words, left, n_removed[-1]))
+                kept.append(shape(text, left, n_removed[-1]).decode())
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64(), mask=doc == NO_ID), pa.array(n_words, pa.int64()),
-                 pa.array(n_removed, pa.int64()),
-                 pa.array([k.decode() if isinstance(k, bytes) else k for k in kept], pa.string()),
-                 batch.column(2)], names=["doc_id", "n_words", "n_removed", name, "spans"])
+                 pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[2:]],
+                names=["doc_id", "n_words", "n_removed", name, "spans", "rest"][:3 + batch.num_columns - 1])
 
-    return rows.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {name} string, "
-                                "spans array<struct<from:int,to:int>>")
+    out = T.StructType.fromDDL(f"doc_id long, n_words long, n_removed long, {name} string, spans {span}")
+    return rows.mapInArrow(cut, T.StructType([*out, *([rows.schema["rest"]] if carry else [])]))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove 50-word windows that also start in a smaller document; digest of what is kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _apply(docs, WINDOW, SEED_WORDS, lambda text, words, left, n: hashlib.sha256(b" ".join(left)).hexdigest(),
-                  "kept_sha256").drop("spans")
+    return kept_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = """
