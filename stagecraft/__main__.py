@@ -24,22 +24,41 @@ def _json(text):
     return json.loads(text) if text else None
 
 
+def _formats(given):
+    """Date layouts from the command line: for all columns, or per column."""
+    from .functions.dates import DAYFIRST_FORMATS
+
+    if not given:
+        return DAYFIRST_FORMATS
+    if not any("=" in g for g in given):
+        return tuple(given)
+    out: dict = {}
+    for g in given:
+        name, _, layout = g.partition("=")
+        out.setdefault(name, []).append(layout)
+    return out
+
+
 def build(spark: SparkSession, args) -> dict:
     from .operators.ranking import with_load_order
-    from .plans.build import BuildParams, run_build
+    from .plans.build import BuildParams, run_build, unparsed_inputs
     from .sources.readers import scan_csv
+    from .sources.writers import write_table
 
     inputs = {}
     for name in ("p1", "p2", "dsr1", "dsr2"):
         # one export per file: the id taken straight after the read keeps file order
-        inputs[name] = with_load_order(scan_csv(spark, f"{args.input.rstrip('/')}/{name}.csv"))
+        inputs[name] = with_load_order(scan_csv(spark, f"{args.input.rstrip('/')}/{name}.csv",
+                                                multi_line=args.multi_line))
     params = BuildParams(exec_aliases=_json(args.aliases) or {},
                          exec_suffixed=_json(args.suffixed) or [],
                          owner_map=_json(args.owner_map), min_date=args.min_date,
-                         date_formats=tuple(args.date_format or ("d/M/yyyy H:mm",)),
+                         date_formats=_formats(args.date_format),
                          load_order=("_seq",), main_tiebreak=("_seq",),
                          dsr_tiebreak=("_seq",))
     out = run_build(inputs, params, args.output, args.format)
+    out["unparsed_dates"] = write_table(unparsed_inputs(inputs, params), args.output,
+                                        "unparsed_dates", args.format)
     return {name: f"{args.output.rstrip('/')}/{name}" for name in out}
 
 
@@ -71,7 +90,7 @@ def report(spark: SparkSession, args) -> dict:
             drill_down_details(modified, keys, bookmarks, args.user, tiebreak=("_seq",)),
             args.output, "drill_down", {"Stage Name(s)": ", ".join(args.stages),
                                         "Column": ", ".join(args.metrics)},
-            args.format)["report"]
+            args.format, names=("Stage Name(s)", "Column"))["report"]
         paths["history_by_sheet"] = history_export_by_key(
             history_for_export(modified, keys, tiebreak=("_seq",)), args.output,
             fmt=args.format)
@@ -90,7 +109,10 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--output", required=True)
     b.add_argument("--format", default="parquet")
     b.add_argument("--min-date", default="2021-01-01")
-    b.add_argument("--date-format", action="append")
+    b.add_argument("--date-format", action="append",
+                   help="a layout for all date columns, or Column=layout; repeat to try several")
+    b.add_argument("--multi-line", action="store_true",
+                   help="quoted values hold line breaks (each file is then one task)")
     b.add_argument("--aliases", help='JSON object, e.g. {"Alias": "Name"}')
     b.add_argument("--suffixed", help="JSON list of names that get the ' - (EX)' suffix")
     b.add_argument("--owner-map", help="JSON object owner label -> address")

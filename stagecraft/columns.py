@@ -82,21 +82,6 @@ CATEGORY_MAPPING = {
 # Stage that means "closed / dropped".
 CLOSED_STAGE = "0 - Closed"
 
-# Choices of the "higher stage" picker (grid rows at or above the stage number).
-HIGHER_STAGES = [
-    "All",
-    "60 - Value Proposition",
-    "70 - Demo/Trials",
-    "75 - Negotiation/Review",
-    "80 - Cancelled",
-    "80 - Final Quote",
-    "85 - Order confirmed-Awaiting for PO",
-    "90 - Purchase order recd.",
-    "90 - On Hold",
-    "95 - Closed Won-Advance received",
-    "100 - Billed",
-]
-
 # Stages removed from the movement grid after all counts.
 GRID_EXCLUDED_STAGES = [
     "100 - Billed",
@@ -223,4 +208,3 @@ EXPORT_FILTER_NAMES = ["Region", "Executive", "Potential Code", "Stage Filter",
 
 # Column-width caps used by the exports.
 WIDTH_CAP_REPORT = 50
-WIDTH_CAP_HISTORY = 80

@@ -1,6 +1,6 @@
 """Scalar column functions: text, dates and reporting periods."""
 
-from .dates import (date_part, format_date, ist_stamp, parse_dayfirst, parse_iso,  # noqa: F401
+from .dates import (format_date, ist_stamp, parse_dayfirst,  # noqa: F401
                     to_ist)
 from .periods import (CRITERIA, period_days, period_end_col, period_label_col,  # noqa: F401
                       period_range, period_start_col)

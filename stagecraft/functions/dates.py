@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 # Default day-first layout; one- or two-digit day, month and hour are accepted.
 DAYFIRST_FORMAT = "d/M/yyyy H:mm"
+# Layouts tried in turn where none is given: with minutes, with seconds, date only.
+DAYFIRST_FORMATS = (DAYFIRST_FORMAT, "d/M/yyyy H:mm:ss", "d/M/yyyy")
 
 
-def parse_dayfirst(col: Column, formats=(DAYFIRST_FORMAT,)) -> Column:
+def formats_for(name: str, formats) -> tuple:
+    """The layouts of one column: ``formats`` is a sequence for all or column -> sequence."""
+    if isinstance(formats, dict):
+        return tuple(formats.get(name, DAYFIRST_FORMATS))
+    return tuple(formats)
+
+
+def parse_dayfirst(col: Column, formats=DAYFIRST_FORMATS) -> Column:
     """Parse text day-first; text that fits none of ``formats`` becomes null.
 
     Strict per format; several formats are tried in order with ``coalesce``.
@@ -25,16 +34,6 @@ def parse_dayfirst(col: Column, formats=(DAYFIRST_FORMAT,)) -> Column:
     return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
 
 
-def parse_iso(col: Column) -> Column:
-    """Re-parse ISO text read back from storage; bad text becomes null."""
-    return col.try_cast("timestamp_ntz")
-
-
-def date_part(col: Column) -> Column:
-    """Drop the time of day."""
-    return F.to_date(col)
-
-
 def format_date(col: Column, fmt: str = "yyyy-MM-dd") -> Column:
     return F.date_format(col, fmt)
 

@@ -86,7 +86,11 @@ def period_end_col(criterion: str, as_of: Column) -> Column:
     return F.lit(None).cast("date")
 
 
-def period_label_col(criterion: str, as_of: Column) -> Column:
+def period_label_col(criterion: str, as_of: Column, start=None, end=None) -> Column:
+    """Label of a period; ``Custom`` shows its own ``start`` and ``end`` dates."""
+    if criterion == CUSTOM:
+        s, e = period_days(criterion, start=start, end=end)
+        return F.lit(f"From: {s.isoformat()} To: {e.isoformat()}")
     d = F.to_date(as_of)
     s, e = period_start_col(criterion, d), period_end_col(criterion, d)
     ymd = "yyyy-MM-dd"

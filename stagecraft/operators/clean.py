@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..columns import (CATEGORY_MAPPING, DEFAULT_MIN_DATE, DSR_DATES, DSR_DROP,
                        DSR_RENAME, DSR_TYPE, DSR_TYPE_VALUE, KEY, P_DATES, P_DROP,
                        P_RENAME, STAGE_MAPPING, c, present)
-from ..functions.dates import DAYFIRST_FORMAT, parse_dayfirst
+from ..functions.dates import DAYFIRST_FORMATS, formats_for, parse_dayfirst
 from ..functions.periods import ntz_lit
 from ..functions.text import map_values, suffix_if_in
 
@@ -42,12 +42,33 @@ def rename_columns(df: DataFrame, mapping: dict) -> DataFrame:
     return df.withColumnsRenamed(live)
 
 
-def parse_dates_dayfirst(df: DataFrame, cols, formats=(DAYFIRST_FORMAT,)) -> DataFrame:
-    """Parse the listed text columns day-first; bad text becomes null."""
+def parse_dates_dayfirst(df: DataFrame, cols, formats=DAYFIRST_FORMATS) -> DataFrame:
+    """Parse the listed text columns day-first; bad text becomes null.
+
+    ``formats`` holds the layouts tried in turn, for all columns or per column.
+    """
     todo = present(df, cols)
     if not todo:
         return df
-    return df.withColumns({n: parse_dayfirst(c(n), formats) for n in todo})
+    return df.withColumns({n: parse_dayfirst(c(n), formats_for(n, formats)) for n in todo})
+
+
+def parse_text_dates(df: DataFrame, cols, formats=DAYFIRST_FORMATS) -> DataFrame:
+    """P3 on those of the listed columns that hold text; timestamps stay as they are."""
+    return parse_dates_dayfirst(
+        df, [n for n in present(df, cols) if df.schema[n].dataType.typeName() == "string"], formats)
+
+
+def unparsed_dates(df: DataFrame, cols, formats=DAYFIRST_FORMATS) -> DataFrame:
+    """Per listed text column, how many non-null texts fit no layout (one aggregate pass)."""
+    todo = present(df, cols)
+    bad = [F.count(F.when(c(n).isNotNull() & parse_dayfirst(c(n), formats_for(n, formats)).isNull(), True))
+           .alias(f"n{i}") for i, n in enumerate(todo)]
+    if not todo:
+        return df.sparkSession.createDataFrame([], "`column` string, unparsed long")
+    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("unparsed"))
+                     for i, n in enumerate(todo)])
+    return df.agg(*bad).select(F.inline(rows))
 
 
 def parse_dates_iso(df: DataFrame, cols) -> DataFrame:
@@ -175,7 +196,7 @@ def filter_key_not_null(df: DataFrame, key: str = KEY) -> DataFrame:
 # ------------------------------------------------------------- composed cleaners
 
 def clean_potentials(df: DataFrame, *, aliases=None, suffix_names=None, owner_map=None,
-                     min_date=DEFAULT_MIN_DATE, date_formats=(DAYFIRST_FORMAT,)) -> DataFrame:
+                     min_date=DEFAULT_MIN_DATE, date_formats=DAYFIRST_FORMATS) -> DataFrame:
     """Q1: P1 -> P2 -> P3 -> P5 -> P6 -> P7 -> P8 -> F1 on an opportunity snapshot."""
     df = drop_columns_if_present(df, P_DROP)
     df = rename_columns(df, P_RENAME)
@@ -188,7 +209,7 @@ def clean_potentials(df: DataFrame, *, aliases=None, suffix_names=None, owner_ma
 
 
 def clean_activities(df: DataFrame, *, aliases=None, suffix_names=None, owner_map=None,
-                     min_date=DEFAULT_MIN_DATE, date_formats=(DAYFIRST_FORMAT,)) -> DataFrame:
+                     min_date=DEFAULT_MIN_DATE, date_formats=DAYFIRST_FORMATS) -> DataFrame:
     """Q2: P1 -> P2 -> F2 -> P3 -> P9 -> P5 -> P10 -> P7 -> P8 -> F1 -> P11 on an activity log.
 
     A raw ``Modified Date`` (not renamed for activities) is parsed too when

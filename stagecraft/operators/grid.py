@@ -81,10 +81,15 @@ def filter_exclude_stages(grid: DataFrame, stages=GRID_EXCLUDED_STAGES) -> DataF
 
 def grid_total_row(grid: DataFrame) -> DataFrame:
     """Append ``Total`` = column sums over the grid rows except ``0 - Closed``."""
-    tot = (grid.filter(F.col(STAGE_NAME) != CLOSED_STAGE)
-           .agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in GRID_METRICS])
-           .select(F.lit("Total").alias(STAGE_NAME), *GRID_METRICS))
-    return grid.unionByName(tot)
+    # each grid row counts for its own stage and, unless closed, for the total, so the
+    # grid is computed once; a constant zero row makes the total of an empty grid
+    names = F.array(F.col(STAGE_NAME), F.when(F.col(STAGE_NAME) != CLOSED_STAGE, F.lit("Total")))
+    rows = (grid.select(F.explode(names).alias("_s"), *GRID_METRICS).filter(F.col("_s").isNotNull())
+            .withColumnRenamed("_s", STAGE_NAME))
+    zero = grid.sparkSession.range(1).select(
+        F.lit("Total").alias(STAGE_NAME), *[F.lit(0).cast("bigint").alias(n) for n in GRID_METRICS])
+    return (rows.unionByName(zero).groupBy(STAGE_NAME)
+            .agg(*[F.sum(n).cast("bigint").alias(n) for n in GRID_METRICS]))
 
 
 def _display_order(stage: Column) -> list[Column]:
@@ -98,7 +103,8 @@ def sort_stage_number(grid: DataFrame) -> DataFrame:
 
 
 def limit_rows(grid: DataFrame, n: int = GRID_MAX_ROWS) -> DataFrame:
-    """O3: first ``n`` rows in display order."""
+    """O3: the first ``n`` rows in display order, for showing a grid only: reports and
+    exports use the whole grid."""
     return sort_stage_number(grid).limit(n)
 
 
@@ -112,10 +118,10 @@ def grid_alerts(grid: DataFrame) -> DataFrame:
     })
 
 
-def finish_grid(grid: DataFrame, higher_stage: str = "All", max_rows: int = GRID_MAX_ROWS) -> DataFrame:
-    """F14 -> F15 -> A6 -> O1 -> O3 on a computed grid."""
+def finish_grid(grid: DataFrame, higher_stage: str = "All") -> DataFrame:
+    """F14 -> F15 -> A6 -> O1 on a computed grid: all stages, and the Total row last."""
     g = filter_exclude_stages(filter_stage_at_least(grid, higher_stage))
-    return limit_rows(grid_total_row(g), max_rows)
+    return sort_stage_number(grid_total_row(g))
 
 
 # ---------------------------------------------------------------- drill-down (Q7)

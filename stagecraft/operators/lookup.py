@@ -146,9 +146,16 @@ def facet_cascade(df: DataFrame, state=None, company=None, code=None) -> dict[st
 def find_potential(srl: DataFrame, modified: DataFrame, state: str | None = None,
                    company: str | None = None, code: str | None = None, key: str = KEY,
                    tiebreak=(), history_tiebreak=()) -> tuple[DataFrame, DataFrame]:
-    """Q11: potentials matching the facet picks -> (details, history), batch form."""
+    """Q11: potentials matching the facet picks -> (details, history), batch form.
+
+    A state only narrows the list of companies to pick from (``facet_cascade``); with a
+    company picked, its potentials in every state match.
+    """
     sel = srl
-    for col, val in (("State/UT", state), ("Company Name", company), ("Potential Code", code)):
+    picks = [("Company Name", company), ("Potential Code", code)]
+    if company is None:
+        picks.append(("State/UT", state))
+    for col, val in picks:
         if val is not None:
             sel = sel.filter(c(col) == F.lit(val))
     keys = sel.select(c(key).alias("_fk")).filter(non_blank(F.col("_fk"))).distinct()
@@ -156,6 +163,14 @@ def find_potential(srl: DataFrame, modified: DataFrame, state: str | None = None
             stage_history(modified, keys, key, history_tiebreak))
 
 
+def bookmarked_history(state: DataFrame, modified: DataFrame, key: str = KEY) -> DataFrame:
+    """The stage history of every user's bookmarked potentials, dates as dates."""
+    marks = state.select("user", F.col("potential_no").cast("string").alias("_bk")).distinct()
+    hist = to_date_columns(stage_history(modified, None, key, ordered=False),
+                           ["Created Date", "Closing Date"])
+    return marks.join(hist, F.col("_bk") == c(key)).drop("_bk")
+
+
 def bookmarked_details(state: DataFrame, modified: DataFrame, key: str = KEY,
                        tiebreak=()) -> DataFrame:
     """Each user's bookmarks with the first bookmark time and the latest details.

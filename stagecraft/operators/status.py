@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..columns import (DSR_TYPE, FLAG, KEY, SRL_COLUMNS, STATUS_COLUMNS,
                        STATUS_DATE_COLUMNS, c, present)
+from ..functions.dates import DAYFIRST_FORMATS
+from .clean import parse_text_dates
 from .ranking import top_k_per_key
 
 _K = "_k"
@@ -200,8 +202,9 @@ def common_new_counts(p2: DataFrame, p1: DataFrame, key: str = KEY) -> DataFrame
 
 
 def sales_reporting(p2rdb: DataFrame, p1rdb: DataFrame, dsr2rdb: DataFrame,
-                    modified_rdb: DataFrame, *, dsr_tiebreak=(), main_tiebreak=()) -> DataFrame:
-    """Q4 tail: status columns ensured, Flag, projection to the status table, W6.
+                    modified_rdb: DataFrame, *, dsr_tiebreak=(), main_tiebreak=(),
+                    date_formats=DAYFIRST_FORMATS) -> DataFrame:
+    """Q4 tail: status columns ensured, text dates parsed (P3), Flag, projection, W6.
 
     ``p2rdb`` is the cleaned, de-duplicated new snapshot (one row per key).
     """
@@ -211,6 +214,7 @@ def sales_reporting(p2rdb: DataFrame, p1rdb: DataFrame, dsr2rdb: DataFrame,
                                                "Modified Date", "Closing Date")})
     p2 = p2rdb.withColumns({n: F.lit(None).cast(types.get(n, "string"))
                             for n in SRL_COLUMNS if n not in p2rdb.columns})
+    p2 = parse_text_dates(p2, [n for n in SRL_COLUMNS if types.get(n)], date_formats)
     flagged = flag_new_existing(p2, p1rdb)
     srl = flagged.select(*[c(n) for n in SRL_COLUMNS + [FLAG]])
     main_rows = (modified_rdb.filter(c(DSR_TYPE).isNull()) if DSR_TYPE in modified_rdb.columns

@@ -87,7 +87,7 @@ v_p1 AS (
 v_p2_once AS (
   SELECT *, od + to_days(CAST(CASE WHEN k % 5 = 0 THEN (k % 13) * 100
                                    ELSE (k % 8) * 15 - 15 END AS INTEGER)) AS md
-  FROM v_base WHERE k % 7 <> 0),
+  FROM v_base WHERE k % 7 <> 0 OR od >= {T_OLD}),
 v_p2 AS (
   SELECT * EXCLUDE (md, copy), k * 2 + copy AS _seq,
          {STAGES}[CAST((k * 3 + ck + copy) % 8 AS INTEGER) + 1] AS "Stage",
@@ -115,7 +115,7 @@ v_dsr AS (
   FROM (SELECT *, od + to_days(CAST((l_linenumber // 2) * 30 AS INTEGER)) AS ct
         FROM lineitem JOIN v_base ON l_orderkey = k)),
 v_dsr1 AS (SELECT * FROM v_dsr WHERE od < {T_OLD}),
-v_dsr2 AS (SELECT * FROM v_dsr WHERE k % 5 <> 0)"""
+v_dsr2 AS (SELECT * FROM v_dsr WHERE k % 5 <> 0 OR od >= {T_OLD})"""
 
 
 def _clean_p(src: str, with_status: bool) -> str:
@@ -313,8 +313,8 @@ def stage_num_sql(e: str) -> str:
             f"2147483647)")
 
 
-def finish_grid_sql(grid: str, higher_stage: str = "All", limit: int = 20) -> str:
-    """F14 -> F15 -> total -> order -> limit over a grid relation; returns a SELECT."""
+def finish_grid_sql(grid: str, higher_stage: str = "All", limit: int | None = None) -> str:
+    """F14 -> F15 -> total -> order (-> limit) over a grid relation; returns a SELECT."""
     import re
     cond = f'"Stage Name" NOT IN {in_list(GRID_EXCLUDED_STAGES)}'
     if higher_stage != "All":
@@ -330,4 +330,4 @@ g3 AS (SELECT *, 0 AS is_total FROM g2
               CAST(coalesce(sum("Dropped"), 0) AS BIGINT), CAST(coalesce(sum("CB"), 0) AS BIGINT), 1
        FROM g2 WHERE "Stage Name" <> {s(CLOSED_STAGE)})
 SELECT * EXCLUDE (is_total) FROM g3
-ORDER BY is_total, {stage_num_sql(chr(34) + "Stage Name" + chr(34))}, "Stage Name" LIMIT {limit}"""
+ORDER BY is_total, {stage_num_sql(chr(34) + "Stage Name" + chr(34))}, "Stage Name"{f" LIMIT {limit}" if limit else ""}"""

@@ -16,12 +16,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import DEFAULT_MIN_DATE, KEY, STATUS_COLUMNS, STATUS_DATE_COLUMNS, c
-from ..functions.dates import DAYFIRST_FORMAT
-from ..operators.clean import clean_activities, clean_potentials, ensure_columns
+from ..columns import (DEFAULT_MIN_DATE, DSR_DATES, DSR_RENAME, KEY, P_DATES, P_RENAME,
+                       SRL_COLUMNS, STATUS_COLUMNS, STATUS_DATE_COLUMNS, c)
+from ..functions.dates import DAYFIRST_FORMATS
+from ..operators.clean import (clean_activities, clean_potentials, ensure_columns,
+                               parse_text_dates, rename_columns, unparsed_dates)
 from ..operators.merge import incremental_merge, union_by_name
 from ..operators.ranking import dedupe_keep_first, duplicate_rows
-from ..operators.status import common_new_counts, sales_reporting
+from ..operators.status import common_new_counts, flag_new_existing, sales_reporting
 
 
 @dataclass
@@ -31,7 +33,7 @@ class BuildParams:
     exec_suffixed: list = field(default_factory=list)
     owner_map: object = None
     min_date: str = DEFAULT_MIN_DATE
-    date_formats: tuple = (DAYFIRST_FORMAT,)
+    date_formats: object = DAYFIRST_FORMATS  # layouts, or column -> layouts
     load_order: tuple = ("_seq",)          # W1 "first in file order"
     dsr_tiebreak: tuple = ()                # total order of activity picks
     main_tiebreak: tuple = ("_seq",)        # total order of main-row picks
@@ -45,9 +47,27 @@ class BuildParams:
 def clean_new_snapshot(p2_raw: DataFrame, params: BuildParams) -> DataFrame:
     """Cleaned new snapshot with the eight status columns ensured (before dedupe)."""
     p2 = clean_potentials(p2_raw, **params.cleaning())
+    p2 = parse_text_dates(p2, STATUS_DATE_COLUMNS, params.date_formats)
     return ensure_columns(p2, STATUS_COLUMNS, {n: "timestamp_ntz" for n in STATUS_DATE_COLUMNS})
 
 
+def unparsed_inputs(tables_in: dict[str, DataFrame], params: BuildParams) -> DataFrame:
+    """Per raw input and date column, how many non-null texts fit none of the layouts."""
+    parts = []
+    for name, df in tables_in.items():
+        rename, dates = ((P_RENAME, P_DATES + STATUS_DATE_COLUMNS) if name.startswith("p")
+                         else (DSR_RENAME, DSR_DATES))
+        counts = unparsed_dates(rename_columns(df, rename), dates, params.date_formats)
+        parts.append(counts.select(F.lit(name).alias("input"), "column", "unparsed"))
+    return union_by_name(*parts)
+
+
+def stored_snapshot(p2rdb: DataFrame, p1rdb: DataFrame) -> DataFrame:
+    """The new snapshot as it is stored: every column of the status table, and ``Flag``."""
+    dates = {n: "timestamp_ntz" for n in SRL_COLUMNS if n in STATUS_DATE_COLUMNS + P_DATES}
+    return flag_new_existing(ensure_columns(p2rdb, SRL_COLUMNS, dates), p1rdb)
+
+
 def build_tables(p1_raw: DataFrame, p2_raw: DataFrame, dsr1_raw: DataFrame,
                  dsr2_raw: DataFrame, params: BuildParams) -> dict[str, DataFrame]:
     cl = params.cleaning()
@@ -58,8 +78,10 @@ def build_tables(p1_raw: DataFrame, p2_raw: DataFrame, dsr1_raw: DataFrame,
     dsr2rdb = clean_activities(dsr2_raw, **cl)
     merged = incremental_merge(p1rdb, p2rdb, dsr1rdb, dsr2rdb)
     srl = sales_reporting(p2rdb, p1rdb, dsr2rdb, merged["modified_rdb"],
-                          dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak)
-    out = {"p1rdb": p1rdb, "p2rdb_duplicates": duplicate_rows(p2_all), "p2rdb": p2rdb,
+                          dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak,
+                          date_formats=params.date_formats)
+    out = {"p1rdb": p1rdb, "p2rdb_duplicates": duplicate_rows(p2_all), "p2rdb_all": p2_all,
+           "p2rdb_deduped": p2rdb, "p2rdb": stored_snapshot(p2rdb, p1rdb),
            "dsr1rdb": dsr1rdb, "dsr2rdb": dsr2rdb, **merged, "sales_reporting_logic": srl}
     return out
 
@@ -68,11 +90,16 @@ def discrepancies(srl: DataFrame, dsr2rdb: DataFrame, key: str = KEY) -> DataFra
     """Distinct non-null keys only in the status table
     (``side='srl_only'``) or only in the activity log (``side='dsr2_only'``).
     """
-    a = srl.select(c(key).alias("_dk")).filter(F.col("_dk").isNotNull()).distinct()
-    b = dsr2rdb.select(c(key).alias("_dk")).filter(F.col("_dk").isNotNull()).distinct()
-    out = (a.join(b, "_dk", "left_anti").withColumn("side", F.lit("srl_only"))
-           .unionByName(b.join(a, "_dk", "left_anti").withColumn("side", F.lit("dsr2_only"))))
-    return out.withColumnRenamed("_dk", key)
+    # tagged keys of both sides, one aggregate: keys seen on one side only
+    def tagged(df, on_srl):
+        return (df.select(c(key).alias("_dk"), F.lit(on_srl).alias("_s"))
+                .filter(F.col("_dk").isNotNull()))
+
+    seen = (tagged(srl, True).unionByName(tagged(dsr2rdb, False)).groupBy("_dk")
+            .agg(F.bool_or("_s").alias("_a"), F.bool_and("_s").alias("_b")))
+    return (seen.filter(F.col("_a") == F.col("_b"))
+            .select(F.col("_dk").alias(key),
+                    F.when(F.col("_a"), F.lit("srl_only")).otherwise(F.lit("dsr2_only")).alias("side")))
 
 
 def discrepancy_counts(srl: DataFrame, dsr2rdb: DataFrame, key: str = KEY) -> DataFrame:
@@ -131,12 +158,14 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
     })
     out.update(store_all({
         "p2rdb_duplicates": duplicate_rows(out["p2rdb_all"]),
-        "p2rdb": dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order),
+        "p2rdb_deduped": dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order),
     }))
-    merged = incremental_merge(out["p1rdb"], out["p2rdb"], out["dsr1rdb"], out["dsr2rdb"])
+    merged = incremental_merge(out["p1rdb"], out["p2rdb_deduped"], out["dsr1rdb"], out["dsr2rdb"])
     out.update(store_all({name: merged[name] for name in (
-        "main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb", "modified_rdb")}))
-    srl = sales_reporting(out["p2rdb"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
-                          dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak)
+        "main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb", "modified_rdb")}
+        | {"p2rdb": stored_snapshot(out["p2rdb_deduped"], out["p1rdb"])}))
+    srl = sales_reporting(out["p2rdb_deduped"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
+                          dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak,
+                          date_formats=params.date_formats)
     out.update(store_all({"sales_reporting_logic": srl}))
     return out

@@ -17,7 +17,7 @@ from ..operators import grid as G
 from ..operators import merge as MG
 from ..operators import ranking as RK
 from ..operators import status as ST
-from ..registry import register, tables
+from ..registry import PARAMS, register, tables
 from ..sources import derived as dv
 from . import build as B
 
@@ -29,37 +29,57 @@ SRL = "srl"
 
 @register("clean_potentials", O.with_ctes("SELECT * FROM p1rdb"))
 def q_clean_potentials(spark, sf_dir):
-    return tables(spark, sf_dir)["p1rdb"]
+    return CL.clean_potentials(dv.p1(spark, sf_dir), **PARAMS.cleaning())
 
 
 @register("clean_activities", O.with_ctes("SELECT * FROM dsr2rdb"))
 def q_clean_activities(spark, sf_dir):
-    return tables(spark, sf_dir)["dsr2rdb"]
+    return CL.clean_activities(dv.dsr2(spark, sf_dir), **PARAMS.cleaning())
 
 
 @register("dedupe_keep_first", O.with_ctes("SELECT * FROM p2rdb"))
 def q_dedupe_keep_first(spark, sf_dir):
-    return tables(spark, sf_dir)["p2rdb"]
+    return RK.dedupe_keep_first(tables(spark, sf_dir)["p2rdb_all"], KEY, PARAMS.load_order)
+
+
+_NOT_IN_P2 = [n for n in SRL_COLUMNS if n in ("Enquiry Date", "Potential Name", "Campaign Source", "Mobile",
+                                              "Billing City", "Email", "Lead Source")]
+
+
+@register("stored_snapshot", O.with_ctes(
+    "SELECT p.*, " + ", ".join(f"CAST(NULL AS {'TIMESTAMP' if n == 'Enquiry Date' else 'VARCHAR'}) AS {O.qi(n)}"
+                               for n in _NOT_IN_P2) +
+    ', CASE WHEN "Potential No." IN (SELECT "Potential No." FROM p1rdb WHERE "Potential No." IS NOT NULL) '
+    "THEN 'Existing' ELSE 'New' END AS \"Flag\" FROM p2rdb p"))
+def q_stored_snapshot(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return B.stored_snapshot(t["p2rdb_deduped"], t["p1rdb"])
+
+
+def _merged(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return MG.incremental_merge(t["p1rdb"], t["p2rdb_deduped"], t["dsr1rdb"], t["dsr2rdb"])
 
 
 @register("incremental_merge", O.with_ctes("SELECT * FROM modified_rdb"))
 def q_incremental_merge(spark, sf_dir):
-    return tables(spark, sf_dir)["modified_rdb"]
+    return _merged(spark, sf_dir)["modified_rdb"]
 
 
 @register("union_by_name", O.with_ctes("SELECT * FROM main_rdb"))
 def q_union_by_name(spark, sf_dir):
-    return tables(spark, sf_dir)["main_rdb"]
+    t = tables(spark, sf_dir)
+    return MG.union_by_name(t["p1rdb"], t["dsr1rdb"])
 
 
 @register("weekly_rdb", O.with_ctes("SELECT * FROM weekly_rdb"))
 def q_weekly(spark, sf_dir):
-    return tables(spark, sf_dir)["weekly_rdb"]
+    return _merged(spark, sf_dir)["weekly_rdb"]
 
 
 @register("filter_after_watermark", O.with_ctes("SELECT * FROM p2f"))
 def q_filter_after_watermark(spark, sf_dir):
-    return tables(spark, sf_dir)["p2rdb_filtered"]
+    return _merged(spark, sf_dir)["p2rdb_filtered"]
 
 
 @register("watermark", O.with_ctes("SELECT watermark FROM wm"))
@@ -69,7 +89,9 @@ def q_watermark(spark, sf_dir):
 
 @register("sales_reporting", O.with_ctes(f"SELECT * FROM {SRL}"))
 def q_sales_reporting(spark, sf_dir):
-    return tables(spark, sf_dir)["sales_reporting_logic"]
+    t = tables(spark, sf_dir)
+    return ST.sales_reporting(t["p2rdb_deduped"], t["p1rdb"], t["dsr2rdb"], t["modified_rdb"],
+                              dsr_tiebreak=PARAMS.dsr_tiebreak, main_tiebreak=PARAMS.main_tiebreak)
 
 
 @register("status_six_cases", O.with_ctes(
@@ -78,15 +100,17 @@ def q_sales_reporting(spark, sf_dir):
     f'"CS Contacted On Date", "CS Follow-up On Date", "CS Closure Date" FROM {SRL}'))
 def q_status_six_cases(spark, sf_dir):
     t = tables(spark, sf_dir)
+    main = t["modified_rdb"].filter(c("DSR Type").isNull())
     cols = [KEY] + [n for n in SRL_COLUMNS if n.startswith(("PS ", "CS ", "Previous", "Current"))]
-    return t["sales_reporting_logic"].select(*[c(n) for n in cols])
+    return ST.status_six_cases(t["p2rdb"], t["dsr2rdb"], main, dsr_tiebreak=PARAMS.dsr_tiebreak,
+                               main_tiebreak=PARAMS.main_tiebreak).select(*[c(n) for n in cols])
 
 
 @register("duplicate_rows", O.with_ctes(
     'SELECT * FROM p2c WHERE "Potential No." IN '
     '(SELECT "Potential No." FROM p2c GROUP BY 1 HAVING count(*) > 1)'))
 def q_duplicate_rows(spark, sf_dir):
-    return tables(spark, sf_dir)["p2rdb_duplicates"]
+    return RK.duplicate_rows(tables(spark, sf_dir)["p2rdb_all"])
 
 
 @register("record_counts", O.with_ctes(
@@ -241,14 +265,13 @@ def q_map_owner(spark, sf_dir):
     "SELECT * REPLACE (coalesce(m.addr, \"Potential Owner\") AS \"Potential Owner\") "
     "FROM v_p2 LEFT JOIN (SELECT DISTINCT 'Owner ' || CAST(c_custkey % 7 AS VARCHAR) AS lbl, "
     "'owner' || CAST(c_custkey % 7 AS VARCHAR) || '@example.org' AS addr FROM customer "
-    "WHERE c_custkey % 7 IN (3, 5)) m ON \"Potential Owner\" = m.lbl")
+    ") m ON \"Potential Owner\" = m.lbl")
     .replace("SELECT * REPLACE", "SELECT v_p2.* REPLACE"))
 def q_map_owner_join(spark, sf_dir):
     cu = dv.read_table(spark, sf_dir, "customer")
     n = (F.col("c_custkey") % 7).cast("string")
-    mapping = (cu.filter((F.col("c_custkey") % 7).isin(3, 5))
-               .select(F.concat(F.lit("Owner "), n).alias("label"),
-                       F.concat(F.lit("owner"), n, F.lit("@example.org")).alias("address")))
+    mapping = cu.select(F.concat(F.lit("Owner "), n).alias("label"),
+                        F.concat(F.lit("owner"), n, F.lit("@example.org")).alias("address"))
     return CL.map_owner(dv.p2(spark, sf_dir), mapping)
 
 
@@ -466,7 +489,7 @@ def q_sort_stage_number(spark, sf_dir):
     return G.sort_stage_number(G.stage_movement_grid(tables(spark, sf_dir)["sales_reporting_logic"]))
 
 
-@register("limit_rows", O.with_ctes(O.grid_sql(SRL) + O.finish_grid_sql("grid")))
+@register("limit_rows", O.with_ctes(O.grid_sql(SRL) + O.finish_grid_sql("grid", limit=20)))
 def q_limit_rows(spark, sf_dir):
     g = G.grid_total_row(G.filter_exclude_stages(
         G.stage_movement_grid(tables(spark, sf_dir)["sales_reporting_logic"])))
@@ -518,7 +541,7 @@ def q_row_number_display(spark, sf_dir):
     from pyspark.sql import Window
     srl = tables(spark, sf_dir)["sales_reporting_logic"]
     g = G.finish_grid(G.stage_movement_grid(srl))
-    # the shown grid has at most 20 rows, so one ordered window partition is fine
+    # one row per stage, so one ordered window partition is fine
     w = Window.orderBy(*G._display_order(F.col(G.STAGE_NAME)))
     return g.withColumn("No.", F.row_number().over(w).cast("bigint"))
 

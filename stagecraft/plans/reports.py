@@ -273,7 +273,7 @@ def q_scan_available_columns(spark, sf_dir):
 
 _BM_LOG = """bm_log AS (
   SELECT CAST(user_id AS VARCHAR) AS "user",
-         CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS VARCHAR) AS potential_no,
+         CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS potential_no,
          ts, CASE WHEN event_type = 'click' THEN 'add' ELSE 'remove' END AS action,
          event_id AS seq
   FROM events WHERE event_type IN ('click', 'error')),
@@ -392,8 +392,8 @@ def q_history_order(spark, sf_dir):
     return LK.stage_history(tables(spark, sf_dir)["modified_rdb"], tiebreak=dv.DSR_TIEBREAK)
 
 
-_FIND_KEYS = (f"SELECT DISTINCT \"Potential No.\" FROM {SRL} WHERE \"State/UT\" = {O.s(STATE)} "
-              f"AND \"Company Name\" = {O.s(COMPANY)} AND trim(\"Potential No.\", ' ') <> ''")
+_FIND_KEYS = (f"SELECT DISTINCT \"Potential No.\" FROM {SRL} WHERE \"Company Name\" = {O.s(COMPANY)} "
+              "AND trim(\"Potential No.\", ' ') <> ''")
 
 
 @register("find_potential", O.with_ctes(
@@ -676,6 +676,41 @@ def q_report_export(spark, sf_dir):
     return spark.read.parquet(paths["report"])
 
 
+@register("report_export_filters", "SELECT * FROM (VALUES ('Stage Name(s)', '80 - Final Quote'), "
+          "('Column', 'CB')) v(\"Filters\", \"Selected\") WHERE EXISTS (SELECT 1 FROM orders)")
+def q_report_export_filters(spark, sf_dir):
+    grid = G.finish_grid(G.stage_movement_grid(_srl(spark, sf_dir)))
+    paths = WR.report_export(grid, WR.shared_dir(spark), "drill_down",
+                             {"Stage Name(s)": "80 - Final Quote", "Column": "CB"},
+                             names=("Stage Name(s)", "Column"))
+    return spark.read.parquet(paths["filters"])
+
+
+@register("details_and_history_export_history", O.with_ctes(
+    "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
+    "\"Original Stage\", \"New Stage\", CAST(\"Closing Date\" AS DATE) AS \"Closing Date\", "
+    "\"Description (Potential Details)\" AS \"Description\" FROM modified_rdb "
+    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN ({_CB_KEYS_SQL})"))
+def q_details_and_history_export_history(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    keys = _cb_keys(spark, sf_dir)
+    det = LK.potential_details(t["modified_rdb"], keys, tiebreak=dv.MAIN_TIEBREAK)
+    hist = LK.history_for_export(t["modified_rdb"], keys, tiebreak=dv.DSR_TIEBREAK)
+    return spark.read.parquet(WR.details_and_history_export(det, hist, WR.shared_dir(spark))["history"])
+
+
+@register("bookmarked_history", O.with_ctes(f""", {_BM_LOG}
+SELECT DISTINCT ON (b."user", m.rid) b."user", m."Potential No.", m."Created Date", m."Original Stage",
+       m."New Stage", m."Closing Date", m."Description"
+FROM bm_state b JOIN (SELECT *, row_number() OVER () AS rid FROM (
+  SELECT "Potential No.", CAST("Created Date" AS DATE) AS "Created Date", "Original Stage", "New Stage",
+         CAST("Closing Date" AS DATE) AS "Closing Date", "Description (Potential Details)" AS "Description"
+  FROM modified_rdb WHERE "DSR Type" IS NOT NULL)) m ON b.potential_no = m."Potential No.\""""))
+def q_bookmarked_history(spark, sf_dir):
+    st = LG.bookmark_state(dv.bookmark_log(spark, sf_dir))
+    return LK.bookmarked_history(st, tables(spark, sf_dir)["modified_rdb"])
+
+
 @register("history_export_by_key", O.with_ctes(
     f"SELECT *, {_sheet_sql(chr(34) + 'Potential No.' + chr(34))} AS sheet FROM ("
     "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "

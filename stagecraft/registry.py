@@ -72,6 +72,8 @@ PRESENTATION: dict[str, dict[str, tuple[str, str]]] = {
         ["Created Date", "Last Contact Date", "Next Followup Date", "Closing Date"], _DATE),
     "find_potential": dict.fromkeys(_DETAIL_DATES, _DATE),
     "fiscal_year_window": dict.fromkeys(["as_of", "current_fy_start", "current_fy_end"], _DATE),
+    "bookmarked_history": dict.fromkeys(["Created Date", "Closing Date"], _DATE),
+    "details_and_history_export_history": dict.fromkeys(["Created Date", "Closing Date"], _DATE),
     "history_export_by_key": dict.fromkeys(["Created Date", "Closing Date"], _DATE),
     "month_window": dict.fromkeys(["as_of", "current_month_start", "current_month_end",
                                    "last_month_start", "last_month_end"], _DATE),

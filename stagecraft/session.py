@@ -31,13 +31,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh scratch folder only when
-    the session names none (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    A fresh scratch folder serves a single-machine session that names none (tests);
+    a cluster session must name a folder that all executors share.
+    """
     sc = spark.sparkContext
     cur = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if cur:
         sc.setCheckpointDir(cur)
         return cur
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="stagecraft-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -22,14 +22,15 @@ def normalize_nulls(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
                            .otherwise(c(n)) for n in todo})
 
 
-def scan_csv(spark: SparkSession, path: str, tokens=CSV_NULL_TOKENS) -> DataFrame:
-    """A headed CSV, every column as text (matched by header), then S2.
+def scan_csv(spark: SparkSession, path: str, tokens=CSV_NULL_TOKENS,
+             multi_line: bool = False) -> DataFrame:
+    """A headed CSV file or a folder of them, every column as text, then S2.
 
-    ``multiLine`` handles quoted line breaks; such files are not splittable, so
-    convert a large export to Parquet once and read that (``write_table``).
+    Files are split over tasks.  Set ``multi_line`` for exports whose quoted values hold
+    line breaks: such a file is read by one task, so give a large export as many files.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("multiLine", True).option("escape", '"').csv(path))
+          .option("multiLine", multi_line).option("escape", '"').csv(path))
     return normalize_nulls(df, tokens)
 
 

@@ -46,11 +46,11 @@ def filters_frame(spark: SparkSession, selected: dict, names=EXPORT_FILTER_NAMES
 
 
 def report_export(df: DataFrame, out_dir: str, name: str, selected: dict,
-                  fmt: str = "parquet") -> dict[str, str]:
-    """Write a report and, beside it, its filter block."""
-    spark = df.sparkSession
+                  fmt: str = "parquet", names=EXPORT_FILTER_NAMES) -> dict[str, str]:
+    """Write a report and, beside it, its filter block (one row per name in ``names``)."""
+    block = filters_frame(df.sparkSession, selected, names)
     return {"report": write_table(df, out_dir, name, fmt),
-            "filters": write_table(filters_frame(spark, selected), out_dir, name + "_filters", fmt)}
+            "filters": write_table(block, out_dir, name + "_filters", fmt)}
 
 
 def sheet_key(col=None):

@@ -3,8 +3,8 @@
 The reference re-runs its batch build on two snapshots.  When activity exports
 arrive as files, the same "rows created after the high-water mark" step can
 run per micro-batch: each batch is cleaned (Q2), cut at the watermark of the
-stored main table (A1/F17), and appended to the weekly table.  The streaming
-checkpoint lives under the session's ``spark.checkpoint.dir``.
+stored main table (A1/F17), and written as its own partition of the weekly
+table, so a batch that is run again replaces itself.  The streaming checkpoint lives under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.clean import clean_activities
 from ..operators.merge import filter_after_watermark, watermark
+from ..sources.readers import normalize_nulls
 
 
 def start_activity_ingest(spark: SparkSession, source_dir: str, schema: StructType,
@@ -27,14 +28,16 @@ def start_activity_ingest(spark: SparkSession, source_dir: str, schema: StructTy
     from ..session import ensure_checkpoint_dir
 
     ckpt = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/activity-ingest"
-    raw = (spark.readStream.schema(schema).option("header", True).csv(source_dir))
+    # enforceSchema off: a file whose header does not match the schema fails
+    raw = (spark.readStream.schema(schema).option("header", True).option("escape", '"')
+           .option("enforceSchema", False).csv(source_dir))
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         main = spark.read.parquet(main_table)
-        cleaned = clean_activities(batch, **(cleaning or {}))
+        cleaned = clean_activities(normalize_nulls(batch), **(cleaning or {}))
         fresh = filter_after_watermark(cleaned, "Created Date", watermark(main))
         if fresh is not None:
-            fresh.write.mode("append").parquet(weekly_table)
+            fresh.write.mode("overwrite").parquet(f"{weekly_table}/batch={batch_id}")
 
     w = raw.writeStream.foreachBatch(merge_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if trigger_once else w

@@ -36,7 +36,8 @@ def test_build_and_report(spark, tmp_path):
           "12,P9,Cid,10/03/2024 13:00,10/03/2024 12:30,9 Prospecting,,,,,Phone,R-1,orphan\n")
     from stagecraft.__main__ import main
     out = str(tmp_path / "out")
-    main(["build", "--input", str(src), "--output", out, "--min-date", "2024-01-01"], spark=spark)
+    main(["build", "--input", str(src), "--output", out, "--min-date", "2024-01-01", "--multi-line"],
+         spark=spark)
     srl = spark.read.parquet(f"{out}/sales_reporting_logic")
     rows = {r["Potential No."]: r for r in srl.collect()}
     assert sorted(rows) == ["P1", "P2", "P3"]
@@ -57,3 +58,30 @@ def test_build_and_report(spark, tmp_path):
     assert [r["Potential No."] for r in drill] == ["P1"]
     hist = spark.read.parquet(paths["history_by_sheet"]).collect()
     assert {r["sheet"] for r in hist} == {"1"}
+
+
+def test_build_with_text_status_dates_and_mixed_layouts(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    head = P_HEAD.rstrip("\n") + ",PS Contacted On Date\n"
+    write(src, "p1.csv", P_HEAD)
+    write(src, "p2.csv", head +
+          "1,P1,Ann,01/03/2024 10:00,10/03/2024 12:00:05,Acme,Closed Won,1. Hot,North,A,S1,"
+          "09/03/2024 09:00,15/03/2024,30/04/2024,07/01/2024 09:00\n"
+          "2,P2,Bob,01/03/2024 11:00,11/03/2024 11:00,Beta,9 Prospecting,2. Followup,South,B,S2,"
+          "soon,,,\n")
+    write(src, "dsr1.csv", D_HEAD)
+    write(src, "dsr2.csv", D_HEAD +
+          "11,P1,Ann,10/03/2024 13:00,10/03/2024 12:30,2 Final Quote,Closed Won,,,Visit,Phone,,won\n")
+    from stagecraft.__main__ import main
+    out = str(tmp_path / "out")
+    main(["build", "--input", str(src), "--output", out, "--min-date", "2024-01-01"], spark=spark)
+    rows = {r["Potential No."]: r for r in spark.read.parquet(f"{out}/sales_reporting_logic").collect()}
+    # one same-day activity: the stored previous contact date is kept, as a timestamp
+    assert str(rows["P1"]["PS Contacted On Date"]) == "2024-01-07 09:00:00"
+    assert str(rows["P1"]["Modified Date"]) == "2024-03-10 12:00:05"
+    assert str(rows["P1"]["Closing Date"]) == "2024-04-30 00:00:00"
+    bad = {(r["input"], r["column"]): r["unparsed"] for r in spark.read.parquet(f"{out}/unparsed_dates").collect()}
+    assert bad[("p2", "Last Contact Date")] == 1 and bad[("p2", "Closing Date")] == 0
+    p2 = spark.read.parquet(f"{out}/p2rdb")
+    assert {"Flag", "Potential Name", "Enquiry Date"} <= set(p2.columns)

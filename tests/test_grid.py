@@ -55,3 +55,16 @@ def test_stage_filter_and_exclusion(spark):
     assert names == {"80 - Final Quote", "100 - Billed", "x", "zz"}   # no number = +inf, kept
     names = {r[0] for r in G.filter_exclude_stages(g).collect()}
     assert "100 - Billed" not in names
+
+
+def test_report_keeps_every_stage_and_the_total(spark):
+    rows = [("Existing", f"{i} - S", f"{i} - S", f"{i} - S") for i in range(10, 40)]
+    out = G.finish_grid(G.stage_movement_grid(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(out) == 31 and out[-1]["Stage Name"] == "Total" and out[-1]["OB"] == 30
+    shown = G.limit_rows(G.finish_grid(G.stage_movement_grid(spark.createDataFrame(rows, SCHEMA))))
+    assert shown.count() == 20
+
+
+def test_total_of_an_empty_grid(spark):
+    out = G.finish_grid(G.stage_movement_grid(spark.createDataFrame([], SCHEMA))).collect()
+    assert [tuple(r) for r in out] == [("Total", 0, 0, 0, 0, 0, 0)]

@@ -7,12 +7,27 @@ from stagecraft.sources import writers as WR
 def test_scan_csv_tokens_and_multiline(spark, tmp_path):
     p = tmp_path / "p.csv"
     p.write_text('Potential No.,Stage,Note\n1,NA,"two\nlines"\n2,,ok\n3,Closed Won,null\n')
-    df = RD.scan_csv(spark, str(p))
+    df = RD.scan_csv(spark, str(p), multi_line=True)
     assert df.columns == ["Potential No.", "Stage", "Note"]
     rows = sorted(tuple(r) for r in df.collect())
     assert rows == [("1", None, "two\nlines"), ("2", None, "ok"), ("3", "Closed Won", None)]
 
 
+def test_scan_csv_splits_a_folder_of_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part{i}.csv").write_text("Potential No.,Stage\n" + f"{i},Open\n")
+    df = RD.scan_csv(spark, str(tmp_path))
+    assert sorted(r[0] for r in df.collect()) == ["0", "1", "2"]
+
+
+def test_drill_down_export_names_its_own_filters(spark, tmp_path):
+    df = spark.createDataFrame([("k",)], "a string")
+    paths = WR.report_export(df, str(tmp_path), "drill", {"Stage Name(s)": "80 - Final Quote", "Column": "CB"},
+                             names=("Stage Name(s)", "Column"))
+    assert sorted(tuple(r) for r in spark.read.parquet(paths["filters"]).collect()) == [
+        ("Column", "CB"), ("Stage Name(s)", "80 - Final Quote")]
+
+
 def test_write_and_scan_table_all(spark, tmp_path):
     df = spark.createDataFrame([("k", "2024-01-02 03:04:05")],
                                "`Potential No.` string, `Created Date` string")

@@ -42,3 +42,26 @@ def test_latest_details_skips_activity_rows(spark):
     d = LK.potential_details(modified, tiebreak=["_seq"]).collect()
     assert [(r["Potential No."], r["Stage"], r["Modified Date"]) for r in d] == \
         [("k1", "Main", dt.date(2024, 1, 1))]
+
+
+def test_find_potential_spans_states(spark):
+    from stagecraft.operators import lookup as LK
+    srl = spark.createDataFrame([("k1", "S1", "C1", "A"), ("k2", "S2", "C1", "A"), ("k3", "S1", "C2", "A")],
+                                "`Potential No.` string, `State/UT` string, `Company Name` string,"
+                                " `Potential Code` string")
+    modified = srl.selectExpr("`Potential No.`", "cast(null as string) as `DSR Type`",
+                              "timestamp_ntz'2024-01-01 00:00:00' as `Modified Date`")
+    details, _ = LK.find_potential(srl, modified, "S1", "C1")
+    assert sorted(r["Potential No."] for r in details.collect()) == ["k1", "k2"]
+    details, _ = LK.find_potential(srl, modified, "S1")
+    assert sorted(r["Potential No."] for r in details.collect()) == ["k1", "k3"]
+
+
+def test_no_row_is_in_neither_snapshot_or_log(spark):
+    from stagecraft.sources import derived as dv
+    sf = "/root/testdata/sf0.001"
+    base, li = dv.base(spark, sf), dv.dsr(spark, sf)
+    seen = dv.p1(spark, sf).select("k").unionByName(dv.p2(spark, sf).select("k"))
+    assert base.join(seen, "k", "left_anti").count() == 0
+    logged = dv.dsr1(spark, sf).select("k", "l_linenumber").unionByName(dv.dsr2(spark, sf).select("k", "l_linenumber"))
+    assert li.join(logged, ["k", "l_linenumber"], "left_anti").count() == 0

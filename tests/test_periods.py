@@ -42,3 +42,11 @@ def test_labels(spark):
     assert r[2] == "Current Month: May 2024"
     assert r[4] == "Current Quarter: Q2 (April - June) 2024"
     assert r[5] == "Current Financial Year: 2024-2025"
+
+
+def test_custom_label(spark):
+    from pyspark.sql import functions as F
+
+    from stagecraft.functions import periods as PD
+    row = spark.range(1).select(PD.period_label_col(PD.CUSTOM, F.current_date(), "2024-01-05", "2024-02-01")).first()
+    assert row[0] == "From: 2024-01-05 To: 2024-02-01"
