@@ -13,7 +13,9 @@ from stagecraft.sources.readers import normalize_nulls
 def test_parse_dates_dayfirst(spark):
     df = spark.createDataFrame([("15/03/2024 10:20",), ("5/3/2024 9:20",), ("16/03/2024",),
                                 ("x",), (None,)], "d string")
-    got = [r[0] for r in CL.parse_dates_dayfirst(df, ["d"]).collect()]
+    both = [r[0] for r in CL.parse_dates_dayfirst(df, ["d"]).collect()]
+    assert both[2] == dt.datetime(2024, 3, 16)      # default layouts include a date alone
+    got = [r[0] for r in CL.parse_dates_dayfirst(df, ["d"], {"d": ["d/M/yyyy H:mm"]}).collect()]
     assert got == [dt.datetime(2024, 3, 15, 10, 20), dt.datetime(2024, 3, 5, 9, 20),
                    None, None, None]
     assert CL.parse_dates_dayfirst(df, ["d"]).schema["d"].dataType.typeName() == "timestamp_ntz"
