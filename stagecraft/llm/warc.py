@@ -42,8 +42,8 @@ from .common import file_system, materialize, shuffle_partitions, slices, work_d
 MIN_BYTES = 100
 FAN_IN = 64
 ARCHIVE_BYTES = 256 << 20
-MARK_EVERY = 256
-SAMPLES_PER_RANGE = 32
+MARK_EVERY = 16
+MARKS = 1024
 #: Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
@@ -130,19 +130,26 @@ def parse_line(line: str):
 
 
 class RunWriter:
-    """Writes sorted lines and notes every ``MARK_EVERY``-th with its byte offset."""
+    """Writes sorted lines and notes evenly spaced ones with their byte offsets.
+
+    The spacing doubles whenever there are ``MARKS`` notes, so their number is bounded.
+    """
 
     def __init__(self, fs, path: str):
         self.file, self.path = fs.open_output_stream(path, compression=None), path
         self.marks: list[str] = []
         self.offsets: list[int] = []
         self.n = self.size = 0
+        self.spacing = MARK_EVERY
         self.held: list[bytes] = []
 
     def write(self, line: str) -> None:
-        if self.n % MARK_EVERY == 0:
-            self.marks.append(line)
-            self.offsets.append(self.size)
+        if self.n % self.spacing == 0:
+            if len(self.marks) == MARKS:
+                self.marks, self.offsets, self.spacing = self.marks[::2], self.offsets[::2], 2 * self.spacing
+            if self.n % self.spacing == 0:
+                self.marks.append(line)
+                self.offsets.append(self.size)
         data = line.encode("utf-8", "surrogatepass") + b"\n"
         self.n += 1
         self.size += len(data)
@@ -292,6 +299,18 @@ def _merge_runs(runs: DataFrame, folder: str, groups: int) -> DataFrame:
     return materialize(dealt.mapInArrow(merge, RUNS), "warc-runs")
 
 
+def cut_keys(runs: list[dict], n: int) -> list[str]:
+    """Up to n - 1 keys that cut the runs' lines into about equal parts: each mark stands
+    for the lines from it to the next one."""
+    marks = sorted((m, r["n"] / len(r["marks"])) for r in runs for m in r["marks"])
+    total, seen, cuts = sum(w for _, w in marks), 0.0, []
+    for m, w in marks:
+        if seen >= total * (len(cuts) + 1) / n and len(cuts) < n - 1 and (not cuts or m > cuts[-1]):
+            cuts.append(m)
+        seen += w
+    return cuts
+
+
 CAPTURES = ("part int, place long, url_key string, captured string, page_id long, archive string, "
             "offset long, length long")
 
@@ -304,12 +323,9 @@ def capture_index(runs: DataFrame, folder: str, ranges: int | None = None, fan_i
         n_runs = -(-n_runs // fan_in)
         runs = _merge_runs(runs, folder, n_runs)
     n = ranges or shuffle_partitions(spark)
-    # cut keys: a bounded number of marks, picked by hash, each of which stands for as many lines
-    marks = runs.select(F.explode("marks").alias("m")).orderBy(F.xxhash64("m"), "m").limit(SAMPLES_PER_RANGE * n)
-    keys = sorted(r["m"] for r in marks.collect())
-    cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+    final = [r.asDict() for r in runs.collect()]  # at most ``fan_in`` runs of ``MARKS`` marks
+    cuts = cut_keys(final, n)
     bounds = list(zip([None, *cuts], [*cuts, None]))
-    final = [r.asDict() for r in runs.collect()]  # at most ``fan_in`` runs with their sparse marks
 
     def merge(batches):
         for batch in batches:
