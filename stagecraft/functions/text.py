@@ -34,12 +34,17 @@ def stage_sort_number(col: Column) -> Column:
     return F.coalesce(stage_number(col), F.lit(NO_STAGE_NUMBER))
 
 
-def digits_only(col: Column, max_len: int = 31, fallback: str = "Sheet1") -> Column:
-    """Keep the digits of a key, cut to ``max_len``; empty becomes ``fallback``.
+def digits_only(col: Column, max_len: int | None = None, fallback: str = "Sheet1") -> Column:
+    """Keep the digits of a key; empty becomes ``fallback``.
+
+    ``max_len`` cuts the result, as a workbook's sheet names need it (31); table files
+    need no cut, which would join keys that differ after it.
 
     ``(?U)`` makes ``\\D`` Unicode-aware like Python's ``re``.
     """
-    d = F.substring(F.regexp_replace(col.cast("string"), r"(?U)\D+", ""), 1, max_len)
+    d = F.regexp_replace(col.cast("string"), r"(?U)\D+", "")
+    if max_len is not None:
+        d = F.substring(d, 1, max_len)
     return F.when(d == "", F.lit(fallback)).otherwise(d)
 
 

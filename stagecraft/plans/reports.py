@@ -240,8 +240,12 @@ _CB_KEYS_SQL = (f"SELECT DISTINCT \"Potential No.\" AS dk FROM {SRL} "
                 f"WHERE \"Potential No.\" IS NOT NULL AND {_drill_sql_pred('CB')}")
 
 
+# the key list as a materialised relation: the status table behind it is computed once
+_CB_CTE = f", cb_keys AS MATERIALIZED ({_CB_KEYS_SQL})\n"
+
+
 @register("keys_semi_filter", O.with_ctes(
-    f"SELECT * FROM modified_rdb WHERE \"Potential No.\" IN ({_CB_KEYS_SQL})"))
+    _CB_CTE + "SELECT m.* FROM modified_rdb m SEMI JOIN cb_keys ON m.\"Potential No.\" = dk"))
 def q_keys_semi_filter(spark, sf_dir):
     t = tables(spark, sf_dir)
     keys = _cb_keys(spark, sf_dir)
@@ -250,8 +254,8 @@ def q_keys_semi_filter(spark, sf_dir):
 
 
 @register("filter_in_keys_blank_report", O.with_ctes(
-    f"SELECT * FROM modified_rdb WHERE \"Potential No.\" IN ({_CB_KEYS_SQL}) "
-    "AND (\"Report ID\" IS NULL OR trim(\"Report ID\", ' ') = '')"))
+    _CB_CTE + "SELECT m.* FROM modified_rdb m SEMI JOIN cb_keys ON m.\"Potential No.\" = dk "
+    "WHERE (\"Report ID\" IS NULL OR trim(\"Report ID\", ' ') = '')"))
 def q_filter_in_keys_blank_report(spark, sf_dir):
     return FL.filter_in_keys_blank_report(tables(spark, sf_dir)["modified_rdb"],
                                           _cb_keys(spark, sf_dir))
@@ -406,7 +410,8 @@ def q_find_potential(spark, sf_dir):
 
 
 @register("find_potential_history", O.with_ctes(
-    _HIST_SQL + f" AND \"Potential No.\" IN ({_FIND_KEYS})"))
+    f", find_keys AS MATERIALIZED ({_FIND_KEYS})\n" +
+    _HIST_SQL + " AND \"Potential No.\" IN (SELECT * FROM find_keys)"))
 def q_find_potential_history(spark, sf_dir):
     t = tables(spark, sf_dir)
     _, hist = LK.find_potential(t["sales_reporting_logic"], t["modified_rdb"], STATE, COMPANY,
@@ -615,17 +620,17 @@ def q_stage_number(spark, sf_dir):
     return u.select("Stage Name", stage_number(F.col("Stage Name")).alias("stage_number"))
 
 
-def _sheet_sql(e):
-    d = f"substring(regexp_replace({e}, '[^0-9]+', '', 'g'), 1, 31)"
+def _sheet_sql(e, cut=""):
+    d = f"substring(regexp_replace({e}, '[^0-9]+', '', 'g'), 1{cut})"
     return f"CASE WHEN {d} = '' THEN 'Sheet1' ELSE {d} END"
 
 
 @register("digits_only", O.with_ctes(
-    f"SELECT DISTINCT \"Company Name\", {_sheet_sql(chr(34) + 'Company Name' + chr(34))} AS sheet "
+    f"SELECT DISTINCT \"Company Name\", {_sheet_sql(chr(34) + 'Company Name' + chr(34), ', 31')} AS sheet "
     f"FROM {SRL}"))
 def q_digits_only(spark, sf_dir):
     srl = _srl(spark, sf_dir)
-    return srl.select(c("Company Name"), digits_only(c("Company Name")).alias("sheet")).distinct()
+    return srl.select(c("Company Name"), digits_only(c("Company Name"), 31).alias("sheet")).distinct()
 
 
 # ------------------------------------------------------------------- sources
@@ -687,10 +692,10 @@ def q_report_export_filters(spark, sf_dir):
 
 
 @register("details_and_history_export_history", O.with_ctes(
-    "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
+    _CB_CTE + "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
     "\"Original Stage\", \"New Stage\", CAST(\"Closing Date\" AS DATE) AS \"Closing Date\", "
     "\"Description (Potential Details)\" AS \"Description\" FROM modified_rdb "
-    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN ({_CB_KEYS_SQL})"))
+    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN (SELECT dk FROM cb_keys)"))
 def q_details_and_history_export_history(spark, sf_dir):
     t = tables(spark, sf_dir)
     keys = _cb_keys(spark, sf_dir)
@@ -712,11 +717,11 @@ def q_bookmarked_history(spark, sf_dir):
 
 
 @register("history_export_by_key", O.with_ctes(
-    f"SELECT *, {_sheet_sql(chr(34) + 'Potential No.' + chr(34))} AS sheet FROM ("
+    _CB_CTE + f"SELECT *, {_sheet_sql(chr(34) + 'Potential No.' + chr(34))} AS sheet FROM ("
     "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
     "\"Original Stage\", \"New Stage\", CAST(\"Closing Date\" AS DATE) AS \"Closing Date\", "
     "\"Description (Potential Details)\" AS \"Description\" FROM modified_rdb "
-    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN ({_CB_KEYS_SQL}))"))
+    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN (SELECT dk FROM cb_keys))"))
 def q_history_export_by_key(spark, sf_dir):
     t = tables(spark, sf_dir)
     hist = LK.history_for_export(t["modified_rdb"], _cb_keys(spark, sf_dir),

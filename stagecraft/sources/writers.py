@@ -53,9 +53,12 @@ def report_export(df: DataFrame, out_dir: str, name: str, selected: dict,
             "filters": write_table(block, out_dir, name + "_filters", fmt)}
 
 
-def sheet_key(col=None):
-    """Sheet name of a key: its digits, first 31, else ``Sheet1``."""
-    return digits_only(col if col is not None else c(KEY))
+WORKBOOK_SHEET_NAME = 31
+
+
+def sheet_key(col=None, max_len: int | None = None):
+    """Sheet name of a key: its digits, else ``Sheet1`` (X2); ``max_len`` for workbooks."""
+    return digits_only(col if col is not None else c(KEY), max_len)
 
 
 def history_export_by_key(history: DataFrame, out_dir: str, name: str = "history",
@@ -67,10 +70,10 @@ def history_export_by_key(history: DataFrame, out_dir: str, name: str = "history
     Written range-partitioned and sorted on (sheet, key, created): every file
     is a contiguous, ordered run of sheets, and a sheet with a huge history is
     split over several writer tasks instead of funnelling through one.  One
-    directory per sheet (``directory_per_sheet``) mirrors the workbook layout
-    but makes one small file set per key, so it is off by default.
+    directory per sheet (``directory_per_sheet``) mirrors the workbook layout,
+    with its 31-character sheet names, but makes one small file set per key, so it is off by default.
     """
-    df = history.withColumn("sheet", sheet_key(c(key)))
+    df = history.withColumn("sheet", sheet_key(c(key), WORKBOOK_SHEET_NAME if directory_per_sheet else None))
     order = [c(n).asc_nulls_last() for n in
              ["sheet", key] + [n for n in ("Created Date",) if n in history.columns]]
     df = df.repartitionByRange(*order).sortWithinPartitions(*order)

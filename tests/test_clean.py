@@ -92,8 +92,9 @@ def test_stage_number_and_digits(spark):
     got = df.select(stage_number(F.col("s")), stage_sort_number(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [(80, 80), (None, 2147483647), (None, 2147483647)]
     k = spark.createDataFrame([("ENQ-00123/A",), ("abc",), ("9" * 40,)], "k string")
-    assert [r[0] for r in k.select(digits_only(F.col("k"))).collect()] == ["00123", "Sheet1",
-                                                                          "9" * 31]
+    assert [r[0] for r in k.select(digits_only(F.col("k"), 31)).collect()] == ["00123", "Sheet1",
+                                                                              "9" * 31]
+    assert [r[0] for r in k.select(digits_only(F.col("k"))).collect()] == ["00123", "Sheet1", "9" * 40]
 
 
 def test_rename_collision_raises(spark):
