@@ -53,12 +53,17 @@ def filter_after_watermark(df: DataFrame, col: str, wm: Column | None) -> DataFr
 
 
 def incremental_merge(p1rdb: DataFrame, p2rdb: DataFrame, dsr1rdb: DataFrame,
-                      dsr2rdb: DataFrame) -> dict[str, DataFrame]:
+                      dsr2rdb: DataFrame, main: DataFrame | None = None,
+                      wm: Column | None = None) -> dict[str, DataFrame]:
     """Q3: main = p1 + dsr1; watermark = max(main.Created Date);
     weekly = (p2 modified after it) + (dsr2 created after it); modified = main + weekly.
+
+    A stored ``main`` and its watermark, where they are known already, are taken as given.
     """
-    main = union_by_name(p1rdb, dsr1rdb)
-    wm = watermark(main)
+    if main is None:
+        main = union_by_name(p1rdb, dsr1rdb)
+    if wm is None:
+        wm = watermark(main)
     p2f = filter_after_watermark(p2rdb, "Modified Date", wm)
     dsr2f = filter_after_watermark(dsr2rdb, "Created Date", wm)
     weekly = union_by_name(p2f, dsr2f) if (p2f is not None or dsr2f is not None) else None

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from ..columns import (DEFAULT_MIN_DATE, DSR_DATES, DSR_RENAME, KEY, P_DATES, P_RENAME,
                        SRL_COLUMNS, STATUS_COLUMNS, STATUS_DATE_COLUMNS, c)
 from ..functions.dates import DAYFIRST_FORMATS
+from ..functions.periods import ntz_lit
 from ..operators.clean import (clean_activities, clean_potentials, ensure_columns,
                                parse_text_dates, rename_columns, unparsed_dates)
-from ..operators.merge import incremental_merge, union_by_name
+from ..operators.merge import incremental_merge, union_by_name, watermark_frame
 from ..operators.ranking import dedupe_keep_first, duplicate_rows
 from ..operators.status import common_new_counts, flag_new_existing, sales_reporting
 
@@ -159,10 +160,17 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
     out.update(store_all({
         "p2rdb_duplicates": duplicate_rows(out["p2rdb_all"]),
         "p2rdb_deduped": dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order),
+        "main_rdb": union_by_name(out["p1rdb"], out["dsr1rdb"]),
     }))
-    merged = incremental_merge(out["p1rdb"], out["p2rdb_deduped"], out["dsr1rdb"], out["dsr2rdb"])
+    # the watermark is read once, as a literal that the filters push to the scans
+    wm = None
+    if "Created Date" in out["main_rdb"].columns:
+        mark = watermark_frame(out["main_rdb"]).first()["watermark"]
+        wm = F.lit(None).cast("timestamp_ntz") if mark is None else ntz_lit(mark)
+    merged = incremental_merge(out["p1rdb"], out["p2rdb_deduped"], out["dsr1rdb"], out["dsr2rdb"],
+                               out["main_rdb"], wm)
     out.update(store_all({name: merged[name] for name in (
-        "main_rdb", "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb", "modified_rdb")}
+        "p2rdb_filtered", "dsr2rdb_filtered", "weekly_rdb", "modified_rdb")}
         | {"p2rdb": stored_snapshot(out["p2rdb_deduped"], out["p1rdb"])}))
     srl = sales_reporting(out["p2rdb_deduped"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
                           dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak,
