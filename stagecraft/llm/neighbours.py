@@ -3,7 +3,7 @@
 Vectors are projected to ``DIMS`` dimensions by a fixed Gaussian (2-stable) matrix: for two
 vectors at distance s, the squared projected distance is s^2 times a chi-square variable
 with ``DIMS`` degrees of freedom.  The projected space is cut into cells by a kd-tree
-fitted on a bounded sample (``SAMPLE`` rows); every vector is indexed in its cell, and each
+fitted on a bounded sample (about ``SAMPLE`` rows, projected on the executors); every vector is indexed in its cell, and each
 cell carries a kd-tree of its own.
 
 A query takes its projected neighbours in growing distance and verifies each with the true
@@ -36,7 +36,7 @@ from .common import materialize
 
 DIMS = 8
 CERTAINTY = 0.98
-SAMPLE = 65_536
+SAMPLE = 32_768
 CELL_ROWS = 4096
 LEAF_ROWS = 48
 SEED = 20_240_601
@@ -217,9 +217,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     matrix = projection(length)
-    sample = (kept.where(F.pmod(F.xxhash64(F.lit("cells"), "vec_id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / n))
-              .select("v").toArrow())  # about SAMPLE rows
-    cells = Cells(_matrix(sample.column(0)) @ matrix if sample.num_rows else np.zeros((0, DIMS)), -(-n // cell_rows))
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(_matrix(batch.column(0)) @ matrix), pa.list_(pa.float64()))], names=["p"])
+
+    picked = F.pmod(F.xxhash64(F.lit("cells"), "vec_id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / n)
+    sample = kept.where(picked).select("v").mapInArrow(project, "p array<double>").toArrow()  # about SAMPLE rows
+    cells = Cells(_matrix(sample.column(0)) if sample.num_rows else np.zeros((0, DIMS)), -(-n // cell_rows))
     factor = stopping_factor(certainty)
 
     def place(batches):
