@@ -51,6 +51,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return _TABLES[key]
 
 
+def forget() -> None:
+    """Drop what is kept per session and folder: call it after an input table changed."""
+    with _LOCK:
+        _TABLES.clear()
+        dv.forget_readers()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

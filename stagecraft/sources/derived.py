@@ -49,6 +49,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READS[key]
 
 
+def forget_readers() -> None:
+    """Read file listings and schemas anew from the next query on."""
+    _READS.clear()
+
+
 def _pick(arr: list[str], idx: Column) -> Column:
     """``arr[idx]`` with a 0-based integer column."""
     return F.element_at(F.array(*[F.lit(x) for x in arr]), (idx + 1).cast("int"))
