@@ -75,8 +75,10 @@ def decisions(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    again = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
-             .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # written first, so that adaptive execution can split the join at a payload of many pages
+    again = materialize(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
+                        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").drop("n"), "warc-digests")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(again, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
