@@ -81,13 +81,24 @@ def filter_role(df: DataFrame, user: str, selected_executive: str = ALL,
     return df
 
 
-def filter_role_batch(df: DataFrame, policy: DataFrame) -> DataFrame:
+ROLE_SALTS = 32
+
+
+def filter_role_batch(df: DataFrame, policy: DataFrame, salts: int = ROLE_SALTS) -> DataFrame:
     """F6 batch form: ``policy(user, executive)`` -> every user's visible rows,
-    tagged with ``user``.  An equi-join on Executive; the policy is small per
-    user but not assumed broadcastable (AQE decides from its measured size).
+    tagged with ``user``.
+
+    An equi-join on Executive and a salt: there are few executives, so each one's rows
+    are dealt over ``salts`` parts by a hash of the row's key, and the policy is repeated
+    for each part.  The policy is not assumed broadcastable (the planner decides from its
+    measured size).
     """
-    p = policy.select(F.col("user").alias("user"), F.col("executive").alias("_pe"))
-    return df.join(p, c("Executive") == F.col("_pe")).drop("_pe")
+    p = (policy.select(F.col("user").alias("user"), F.col("executive").alias("_pe"))
+         .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    salt = F.pmod(F.xxhash64(*[c(n) for n in present(df, [KEY, "Modified Date", "Created Date"])]), F.lit(salts))
+    rows = df.withColumn("_rs", salt.cast("int"))
+    return (rows.join(p, (c("Executive") == F.col("_pe")) & (F.col("_rs") == F.col("_ps")))
+            .drop("_pe", "_ps", "_rs"))
 
 
 def filter_forced_region(df: DataFrame, user: str, forced: dict | None = None,
