@@ -69,6 +69,11 @@ def stored_snapshot(p2rdb: DataFrame, p1rdb: DataFrame) -> DataFrame:
     return flag_new_existing(ensure_columns(p2rdb, SRL_COLUMNS, dates), p1rdb)
 
 
+def _old_side(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The old side passes the watermark step whole: its filtered tables are other names."""
+    return {"p1rdb_filtered": tables["p1rdb"], "dsr1rdb_filtered": tables["dsr1rdb"]}
+
+
 def build_tables(p1_raw: DataFrame, p2_raw: DataFrame, dsr1_raw: DataFrame,
                  dsr2_raw: DataFrame, params: BuildParams) -> dict[str, DataFrame]:
     cl = params.cleaning()
@@ -84,7 +89,7 @@ def build_tables(p1_raw: DataFrame, p2_raw: DataFrame, dsr1_raw: DataFrame,
     out = {"p1rdb": p1rdb, "p2rdb_duplicates": duplicate_rows(p2_all), "p2rdb_all": p2_all,
            "p2rdb_deduped": p2rdb, "p2rdb": stored_snapshot(p2rdb, p1rdb),
            "dsr1rdb": dsr1rdb, "dsr2rdb": dsr2rdb, **merged, "sales_reporting_logic": srl}
-    return out
+    return out | _old_side(out)
 
 
 def discrepancies(srl: DataFrame, dsr2rdb: DataFrame, key: str = KEY) -> DataFrame:
@@ -176,4 +181,4 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
                           dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak,
                           date_formats=params.date_formats)
     out.update(store_all({"sales_reporting_logic": srl}))
-    return out
+    return out | _old_side(out)
