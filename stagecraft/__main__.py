@@ -59,7 +59,8 @@ def build(spark: SparkSession, args) -> dict:
     out = run_build(inputs, params, args.output, args.format)
     out["unparsed_dates"] = write_table(unparsed_inputs(inputs, params), args.output,
                                         "unparsed_dates", args.format)
-    return {name: f"{args.output.rstrip('/')}/{name}" for name in out}
+    same = {"p1rdb_filtered": "p1rdb", "dsr1rdb_filtered": "dsr1rdb"}  # other names, no files of their own
+    return {name: f"{args.output.rstrip('/')}/{same.get(name, name)}" for name in out}
 
 
 def report(spark: SparkSession, args) -> dict:
