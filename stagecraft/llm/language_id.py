@@ -103,7 +103,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = PROFILE)
     """Profiles from about ``sample_docs`` documents of each language, picked by id hash."""
     rows = taught(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                                F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").count()  # reads no text
+    sizes = materialize(rows.groupBy("lang").count(), "language-sizes")  # reads no text
     place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (rows.join(sizes.select("lang", (F.lit(float(sample_docs)) / F.col("count")).alias("share")), "lang")
               .where((place < F.col("share")) & F.col("text").isNotNull()).select("lang", "text"))
