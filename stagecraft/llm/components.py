@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns (a, b), any order, repeats and loops allowed.  Each
     round links every node's larger neighbours to its smallest one and then its smaller
-    neighbours to the smallest of them, until nothing changes.  Each round's edges are a
-    written table; only three numbers per round come to the driver.
+    neighbours to the smallest of them, until nothing changes.  What a step joins is a
+    written table, so that adaptive execution can split a hub's rows; only three numbers
+    per round come to the driver.
     """
     a, b = edges.columns
     cur = materialize(edges.where(F.col(a) != F.col(b))
@@ -22,10 +23,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.join(low, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m"))
+                          .select("a", F.least("a", "m").alias("m")), "low")
+        large = materialize(both.join(low, "a").where("b > a")
+                            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         cur = materialize(small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
                           .unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")

@@ -162,9 +162,9 @@ def trie_parts(classes: DataFrame, max_bits: int, limit: int = PART_LIMIT) -> Da
          else F.col("fp")).alias("v")) for j, (shift, width) in enumerate(_turned(max_bits))])
     rows = classes.select(F.explode(turns).alias("t")).select("t.*")
     rows = rows.withColumn("lead", F.expr("shiftrightunsigned(v, 64 - depth)"))
-    crowded = (rows.groupBy("block", "lead").count().where(F.col("count") > limit)
-               .select("block", "lead", F.least(F.lit(12), F.ceil(F.log2(F.col("count") / limit)) + 2)
-                       .cast("int").alias("more")))
+    crowded = materialize(rows.groupBy("block", "lead").count().where(F.col("count") > limit)
+                          .select("block", "lead", F.least(F.lit(12), F.ceil(F.log2(F.col("count") / limit)) + 2)
+                                  .cast("int").alias("more")), "crowded")
     rows = rows.join(crowded, ["block", "lead"], "left")
     plain = rows.where("more is null").select("block", "lead", F.lit(-1).cast("long").alias("sub"), "depth", "v")
     own = F.expr("shiftrightunsigned(v, 64 - depth - more) & (shiftleft(1L, more) - 1)")
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     roots = connected_components(near_links(classes.select("fp"), max_bits))
     rooted = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
-    lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    lowest = materialize(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest")
     of_class = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
