@@ -174,21 +174,24 @@ def anchors(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """(doc, tie, first, last): inclusive ranges of window positions that repeat a smaller document's."""
     found = materialize(anchors(docs, window, seed), "anchors")
-    seeds = (found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-             .where("low < high").select("anchor"))
+    # what is joined back is written first: a join of two plain shuffles is one whose hot
+    # keys adaptive execution splits, which it does not where an aggregate shares the stage
+    seeds = materialize(found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                        .where("low < high").select("anchor"), "seeds")
     shared = materialize(found.join(seeds, "anchor", "left_semi"), "shared-anchors")
     key = ["anchor", "run", "head", "tail"]
     classes = materialize(shared.groupBy(*key).agg(F.min(F.struct("doc", "tie", "pos")).alias("low")), "classes")
     whole = (shared.join(classes, key).where(F.col("doc") > F.col("low.doc"))
              .select("doc", "tie", (F.col("pos") - F.col("head")).alias("first"),
                      (F.col("pos") - F.col("tail")).alias("last")))
-    several = classes.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = materialize(classes.groupBy("anchor").count().where("count > 1").select("anchor"), "split-anchors")
     partly = (shared.join(classes, key).where(F.col("doc") == F.col("low.doc"))
               .join(several, "anchor", "left_semi")
               .select("doc", "tie", "pos", "head", "tail")
               .groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "head", "tail")).alias("runs")))
     windows = materialize(_extend(_packed(docs).join(partly, ["doc", "tie"]), window), "windows")
-    lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    lowest = materialize(windows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                         .where("low < high"), "low-windows")
     parts = (windows.join(lowest, ["w1", "w2"]).where("doc > low")
              .select("doc", "tie", F.col("at").alias("first"), F.col("at").alias("last")))
     return whole.unionByName(parts)
