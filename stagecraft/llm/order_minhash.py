@@ -15,7 +15,7 @@ numbers, and a second sort brings each bin's smallest first.  Positions are kept
 2**24, which only decides the order of a tuple in texts of over 16 million tokens.
 
 The next document is found on keys alone: ids are range-partitioned and numbered by
-partition, each partition looks one row ahead, and partition edges are patched from one
+partition, each partition looks one row back, and partition edges are patched from one
 row per partition.  A text is shuffled once, the part of it that replaces the end of its
 predecessor a second time.
 
@@ -92,48 +92,46 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Per document key: n (code points), copies, and the key and n of the documents around it."""
+    """Per document key: n (code points), copies, and the key and n of the document before it."""
     n = shuffle_partitions(rows.sparkSession)
     keys = (rows.select("id", "tie", F.char_length("text").cast("long").alias("n"))
             .groupBy("id", "tie").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     keys = materialize(keys.repartitionByRange(n, "id", "tie").withColumn("part", F.spark_partition_id()), "doc-keys")
     edge = F.struct("id", "tie", "n")
-    edges = keys.groupBy("part").agg(F.min(edge).alias("low"), F.max(edge).alias("high"))
+    edges = keys.groupBy("part").agg(F.max(edge).alias("high"))
     all_parts = Window.orderBy("part")  # one row per partition
     whole = all_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select("part", F.coalesce(F.lead("low").over(all_parts), F.first("low").over(whole)).alias("after"),
-                         F.coalesce(F.lag("high").over(all_parts), F.last("high").over(whole)).alias("before"))
+    edges = edges.select("part", F.coalesce(F.lag("high").over(all_parts), F.last("high").over(whole)).alias("before"))
     inside = Window.partitionBy("part").orderBy("id", "tie")
-    return (keys.select("*", F.lead(edge).over(inside).alias("next"), F.lag(edge).over(inside).alias("prev"))
-            .join(edges, "part")
-            .select("id", "tie", "n", "copies", F.coalesce("next", "after").alias("next"),
-                    F.coalesce("prev", "before").alias("prev")))
+    return (keys.select("*", F.lag(edge).over(inside).alias("prev")).join(edges, "part")
+            .select("id", "tie", "n", "copies", F.coalesce("prev", "before").alias("prev")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Signatures of each document and of its edited text (materialised), with its next key."""
+    """Signatures of each document, of its edited text and of the next document.
+
+    A document's head and signature travel together to its predecessor, so signatures
+    are neither stored nor joined a second time.
+    """
     rows = _rows(docs)
     keys = materialize(neighbours(rows), "neighbours")
     if keys.where("copies > 1").limit(1).count():
         rows = rows.dropDuplicates(["id", "tie"])
     placed = rows.join(keys, ["id", "tie"])
-    own = placed.select("id", "tie", "text", "n", "copies", F.col("next.id").alias("next_id"),
-                        F.col("next.tie").alias("next_tie"))
-    head = placed.select(F.col("prev.id").alias("id"), F.col("prev.tie").alias("tie"),
-                         F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("head"))
+    own = placed.select("id", "tie", "text", "n", "copies")
+    head = signature(placed, "text", "next_sig").select(
+        F.col("prev.id").alias("id"), F.col("prev.tie").alias("tie"),
+        F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("head"), "next_sig")
     both = own.join(head, ["id", "tie"]).withColumn(
         "edited", F.expr("concat(substring(text, 1, cast(n - n div 2 as int)), head)"))
-    both = both.select("id", "tie", "n", "copies", "next_id", "next_tie", "text", "edited",
+    both = both.select("id", "n", "copies", "next_sig", "text", "edited",
                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    done = signature(signature(both, "text", "sig").drop("text"), "edited", "edited_sig").drop("edited")
-    return materialize(done, "order-minhash")
+    return signature(signature(both, "text", "sig").drop("text"), "edited", "edited_sig").drop("edited")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likenesses."""
-    found = fingerprints(docs)
-    after = found.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("sig").alias("next_sig"))
-    return found.join(after, ["next_id", "next_tie"]).withColumn(
+    return fingerprints(docs).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256",
         fingerprint_text("sig").alias("fingerprint"), fingerprint_text("edited_sig").alias("edited_fingerprint"),
