@@ -31,17 +31,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(simhash.near_duplicates(docs, shingle=3, max_bits=3), "near-duplicates")
-    first = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
-             .agg(F.count(F.lit(1)).alias("rows")))
-    first = materialize(first, "representatives")
-    named = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    if first.where("rows > 1").limit(1).count():
-        text = F.xxhash64("text")
-        others = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]
-        named = (named.groupBy("doc_id").agg(F.min_by(others[0], text).alias("row"))
-                 .select("row.*"))
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = simhash.near_duplicates(docs, shingle=3, max_bits=3).where("doc_id is not null")
+    ids = materialize(found.groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
+    # the ids to drop are far fewer than those to keep; rows without an id match none
+    gone = materialize(ids.where("not first").select("doc_id"), "near-duplicates")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if ids.where("first and rows > 1").limit(1).count():
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+        kept = one.select("row.*").unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import materialize, slices
 
 WINDOW = 50
-SEED_WORDS = 16
+SEED_WORDS = 10
 #: Odd multipliers of the two polynomial word hashes (any odd numbers serve).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = (1 << 63) - 1
@@ -130,7 +130,7 @@ def _packed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """
     def squeeze(batches):
         import zstandard
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, 512):
             body = pa.array([packer.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
