@@ -43,7 +43,7 @@ def text_blocks(text: str, size: int = BLOCK):
 class LibraryIds:
     """``encode(texts)`` gives the ids of each text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, limit: int = 800_000, limit_bytes: int = 32 << 20):
+    def __init__(self, path: str, limit: int = 600_000, limit_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
