@@ -38,7 +38,7 @@ DIMS = 8
 CERTAINTY = 0.98
 SAMPLE = 32_768
 CELL_ROWS = 4096
-LEAF_ROWS = 48
+LEAF_ROWS = 256
 SEED = 20_240_601
 
 
