@@ -1,7 +1,13 @@
 """Document fingerprints by Order MinHash, in DataFrame and SQL functions only.
 
-A text's tokens are runs of up to ``TOKEN`` characters other than ASCII white space; its
-k-mers are pairs of neighbouring tokens (the last token stands alone).  Repeats of a k-mer
+A text's tokens are pieces of up to ``TOKEN`` characters of its runs, which hold anything
+but ASCII white space; its k-mers are pairs of neighbouring tokens (the last token stands
+alone).  A run of up to ``LONG_RUN`` characters is cut every ``TOKEN`` characters, so an edit
+changes its own few pieces at most.  Longer runs, a run that is the whole text, and runs with
+a character of a script that sets no spaces are cut by what they say, wherever it stands: a
+piece ends behind such a character or one of ``CUTS``; where none follows within ``TOKEN``
+characters, pieces overlap, one from each character (one from each ``TOKEN`` of a repeated
+character).  An edit then changes the pieces around it only.  Repeats of a k-mer
 are numbered by occurrence, and each numbered k-mer is hashed once.  The top bits of the
 hash choose one of ``BINS`` bins; in each bin the two smallest k-mers are kept, put back in
 text order, and hashed as a tuple.  The fingerprint lists each filled bin and its tuple
@@ -34,18 +40,44 @@ from pyspark.sql import functions as F
 from .common import materialize, shuffle_partitions
 
 TOKEN = 8
+LONG_RUN = 48
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in (
+    "Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Yi"))
+#: Every fourth ASCII character, so that pieces of Latin text, digits and base64 are about four long.
+CUTS = r"!%)\-159=AEIMQUY\]aeimquy}"
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 POSITION_BITS = 24
 NO_ID = -(1 << 63)
 
 
+def _pieces(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {_literal(pattern)}, {group})"
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
+
+
+def tokens(text: str) -> str:
+    """SQL for the tokens of column ``text``; most texts need the fixed cuts only."""
+    fixed = rf"\S{{1,{TOKEN}}}"
+    to_cut = rf"[^\s{CUTS}{UNSPACED}]{{0,{TOKEN - 1}}}+[{CUTS}{UNSPACED}]"
+    moving = rf"(?=({to_cut}|{fixed}))(?:{to_cut}|{fixed}+(?!\S)|(\S)\2{{1,{TOKEN - 1}}}+|\S)"
+    alone = rf"\A\s*\S{{{TOKEN + 1},}}+\s*\z"
+    some = rf"\S{{{LONG_RUN + 1}}}|[{UNSPACED}]"
+    run = f"if(r rlike {_literal(some)}, {_pieces('r', moving, 1)}, {_pieces('r', fixed)})"
+    return (f"case when {text} rlike {_literal(alone)} then {_pieces(text, moving, 1)} "
+            f"when {text} rlike {_literal(some)} then flatten(transform({_pieces(text, chr(92) + 'S+')}, r -> {run})) "
+            f"else {_pieces(text, fixed)} end")
+
+
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: an int per filled bin, (bin << 16) | tuple hash, in ascending hash order."""
     pos = (1 << POSITION_BITS) - 1
     bins = 64 - BIN_BITS
     t, a, h, o, c, p = (f"_{out}_{x}" for x in ("tok", "all", "head", "occ", "own", "min"))
-    step = df.withColumn(t, F.expr(f"regexp_extract_all({text}, '\\\\S{{1,{TOKEN}}}', 0)"))
+    step = df.withColumn(t, F.expr(tokens(text)))
     step = step.withColumn(a, F.expr(
         f"sort_array(transform({t}, (x, i) -> (xxhash64(x, get({t}, i + 1)) & {~pos}L) | (cast(i as long) & {pos}L)))"))
     step = step.withColumn(h, F.expr(

@@ -215,3 +215,40 @@ def test_order_matters(spark):
     sig = order_minhash.signature(order_minhash.signature(df, "a", "s"), "b", "t")
     near = sig.select(order_minhash.likeness("s", "t")).first()[0]
     assert 0.2 < near < 0.8  # nearly the same k-mers, but half of the pairs change places
+
+
+def unspaced_texts():
+    rng = np.random.default_rng(5)
+    def draw(alphabet, n):
+        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    han, thai = ("".join(map(chr, range(*r))) for r in ((0x4E00, 0x5200), (0x0E01, 0x0E2F)))
+    return {
+        "han": draw(han, 800), "thai": draw(thai, 800), "base64": draw(base64, 3000), "no cuts": draw("23", 800),
+        "cyrillic": draw("".join(map(chr, range(0x430, 0x450))), 800), "one short run": draw(base64, 45),
+        "han in words": "see " + draw(han, 40) + " and " + draw(han, 40), "link": "at " + draw(base64, 400) + " there",
+        "wide": draw("".join(map(chr, range(0x1F600, 0x1F640))), 400)}
+
+
+def test_an_edit_in_unspaced_text_changes_the_pieces_around_it_only(spark):
+    some = unspaced_texts()
+    rows = [(k, t, t[:5] + "#" + t[5:], t[:5] + t[6:]) for k, t in some.items()]
+    df = spark.createDataFrame(rows, "name string, a string, b string, c string")
+    for x in "abc":
+        df = order_minhash.signature(df.withColumn(f"tok_{x}", F.expr(order_minhash.tokens(x))), x, f"s{x}")
+    for r in df.withColumn("more", order_minhash.likeness("sa", "sb")).withColumn(
+            "less", order_minhash.likeness("sa", "sc")).collect():
+        kmers = {x: set(zip(r[f"tok_{x}"], r[f"tok_{x}"][1:])) for x in "abc"}
+        assert all(len(kmers["a"] - kmers[x]) <= 18 for x in "bc"), r["name"]  # two pieces' length of characters
+        low = 0.3 if r["name"] == "one short run" else 0.6
+        assert min(r["more"], r["less"]) > low, (r["name"], r["more"], r["less"])
+
+
+def test_tokens_hold_every_character_and_spaced_words_keep_their_cuts(spark):
+    import re
+    some = ["a word and internationalisation", "", "  ", "x" * 100, "y " + "z" * 49, *unspaced_texts().values()]
+    df = spark.createDataFrame(list(enumerate(some)), "i long, t string")
+    for r in df.withColumn("tok", F.expr(order_minhash.tokens("t"))).collect():
+        assert all(0 < len(t) <= 8 for t in r["tok"]) and set("".join(r["tok"])) == set("".join(r["t"].split()))
+        if r["i"] < 4:
+            assert r["tok"] == re.findall(r"\S{1,8}", r["t"])
