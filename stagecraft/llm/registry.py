@@ -30,6 +30,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
-    "op8_order_minhash": op8_order_minhash,
     "op9_warc": OP9_SQL,
 }

@@ -85,3 +85,8 @@ def test_registry_names_each_operator_once():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_oracles_are_sql():
+    import __spark_entry__ as entry
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
