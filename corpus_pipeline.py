@@ -6,10 +6,9 @@ predecessor kept.  All but the last return the columns of ``documents``.
 * ``language``: documents in no learnt language go (no letter, null text, or nothing in
   common with any language's profile).  Profiles are learnt from the stage's own labelled
   rows; where none is labelled, every text with a letter stays.
-* ``near_duplicates``: of each group of SimHash-linked documents (3-word shingles, 3 bits)
-  the one with the smallest ``doc_id`` stays.  Rows that repeat an id are one document,
-  whose row with the smallest text hash stays; rows without an id have no name to stand
-  for a group, and stay.
+* ``near_duplicates``: of each group of SimHash-linked rows (3-word shingles, 3 bits) the
+  one with the smallest ``doc_id`` (none ranks last) and then the smallest text hash stays,
+  once if it is repeated.  Rows that share an id but are not linked are told apart.
 * ``repeats``: words of 50-word windows that also start in a smaller document are cut;
   a document of which nothing is left goes, one without repeats keeps its text as it is,
   and ``n_chars`` follows the text.
@@ -31,17 +30,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=3).where("doc_id is not null")
-    ids = materialize(found.groupBy("doc_id").agg(
-        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("rows")), "ids")
-    # the ids to drop are far fewer than those to keep; rows without an id match none
-    gone = materialize(ids.where("not first").select("doc_id"), "near-duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.where("first and rows > 1").limit(1).count():
-        row = F.struct(*[F.col(c) for c in docs.columns])
-        one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
-        kept = one.select("row.*").unionByName(kept.where("doc_id is null"))
-    return kept
+    found = simhash.rooted(docs, shingle=3, max_bits=3, tie=True)
+    keys = materialize(found.groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("copies")), "row-keys")
+    key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tie")
+    groups = materialize(keys.groupBy("root").agg(F.min(key).alias("first"), F.sum("copies").alias("rows"))
+                         .where("rows > 1").select("root", "first"), "groups")
+    marks = materialize(keys.join(groups, "root").select(
+        F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie"), (key != F.col("first")).alias("gone"), "copies")
+        .where("gone or copies > 1"), "near-duplicates")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("tie"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie"))
+    kept = rows.join(marks.where("gone").select("of_id", "of_tie"), same, "left_anti")
+    again = marks.where("not gone").select("of_id", "of_tie")
+    if again.limit(1).count():
+        one = kept.join(again, same, "left_semi").groupBy("id", "tie").agg(
+            F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.join(again, same, "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

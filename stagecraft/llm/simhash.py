@@ -56,14 +56,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, tie: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with ``tie``, a hash of the text as well."""
+    rows = document_columns(docs, binary=True)
+    if tie:
+        rows = rows.withColumn("tie", F.xxhash64("text"))
+
     def run(batches):
         for batch in slices(batches, 512):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]],
+                                             names=["doc_id", "fp", "tie"][:batch.num_columns])
 
-    return document_columns(docs, binary=True).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", tie long" * tie)
 
 
 def join_parts(values: np.ndarray, first: np.ndarray, middle: np.ndarray, depth: np.ndarray,
@@ -245,16 +250,21 @@ def near_links(classes: DataFrame, max_bits: int = 3, limit: int = PART_LIMIT) -
     return dealt.select("block", "lead", "sub", "depth", "v").mapInArrow(join, LINKS).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """Per row: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+def rooted(docs: DataFrame, shingle: int = 3, max_bits: int = 3, tie: bool = False) -> DataFrame:
+    """Per row: doc_id, fp, component_id and root, which names a component without ids as well; ``tie`` if asked."""
+    fps = materialize(fingerprints(docs, shingle, tie), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "classes")
     roots = connected_components(near_links(classes.select("fp"), max_bits))
-    rooted = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .withColumn("root", F.coalesce("root", "fp")))
-    lowest = materialize(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest")
-    of_class = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_root = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+               .withColumn("root", F.coalesce("root", "fp")))
+    lowest = materialize(of_root.groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest")
+    of_class = of_root.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+    return fps.join(of_class, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """Per row: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
+    return rooted(docs, shingle, max_bits).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

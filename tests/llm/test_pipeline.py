@@ -90,3 +90,15 @@ def test_registry_names_each_operator_once():
 def test_oracles_are_sql():
     import __spark_entry__ as entry
     assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+def test_near_duplicates_are_rows_not_ids(spark):
+    words = [" ".join(f"{x}{i}" for i in range(80)) for x in "abcd"]
+    rows = [(3, words[0]), (5, words[0]), (5, words[1]), (6, words[1]), (7, words[2]), (7, words[3]),
+            (None, words[2]), (None, "alone without an id"), (None, "alone without an id"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_duplicates(spark, docs, SF)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    want = [(3, words[0]), (5, words[1]), (7, words[2]), (7, words[3]), (None, "alone without an id"), (8, "")]
+    assert got.columns == docs.columns and kept == sorted(want, key=str)
