@@ -14,6 +14,7 @@ from .substring_dedup import ORACLE as OP6_SQL
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
 from .token_store import op1_token_store
+from .toxicity import op12_toxicity
 from .warc import ORACLE as OP9_SQL
 from .warc import op9_warc
 from .whitening import op13_whitening
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op11_phrases": op11_phrases,
+    "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
 
