@@ -40,20 +40,20 @@ def _formats(given):
 
 
 def build(spark: SparkSession, args) -> dict:
-    from .operators.ranking import with_load_order
-    from .plans.build import BuildParams, run_build, unparsed_inputs
+    from .plans.build import INFERRED, BuildParams, run_build, unparsed_inputs
+    from .sources.ordered import number_by_file
     from .sources.readers import scan_csv
     from .sources.writers import write_table
 
     inputs = {}
     for name in ("p1", "p2", "dsr1", "dsr2"):
-        # one export per file: the id taken straight after the read keeps file order
-        inputs[name] = with_load_order(scan_csv(spark, f"{args.input.rstrip('/')}/{name}.csv",
-                                                multi_line=args.multi_line))
+        # an export is a file or a folder of files; rows are numbered in the order of the files
+        inputs[name] = number_by_file(scan_csv(spark, f"{args.input.rstrip('/')}/{name}.csv",
+                                               multi_line=not args.split_files))
     params = BuildParams(exec_aliases=_json(args.aliases) or {},
                          exec_suffixed=_json(args.suffixed) or [],
                          owner_map=_json(args.owner_map), min_date=args.min_date,
-                         date_formats=_formats(args.date_format),
+                         date_formats=INFERRED if args.infer_dates else _formats(args.date_format),
                          load_order=("_seq",), main_tiebreak=("_seq",),
                          dsr_tiebreak=("_seq",))
     out = run_build(inputs, params, args.output, args.format)
@@ -112,8 +112,12 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--min-date", default="2021-01-01")
     b.add_argument("--date-format", action="append",
                    help="a layout for all date columns, or Column=layout; repeat to try several")
-    b.add_argument("--multi-line", action="store_true",
-                   help="quoted values hold line breaks (each file is then one task)")
+    b.add_argument("--infer-dates", action="store_true",
+                   help="take each date column's layout from its first text")
+    b.add_argument("--split-files", action="store_true",
+                   help="no quoted value holds a line break: files may be split over tasks")
+    b.add_argument("--multi-line", dest="split_files", action="store_false",
+                   help="quoted values may hold line breaks (the default)")
     b.add_argument("--aliases", help='JSON object, e.g. {"Alias": "Name"}')
     b.add_argument("--suffixed", help="JSON list of names that get the ' - (EX)' suffix")
     b.add_argument("--owner-map", help="JSON object owner label -> address")

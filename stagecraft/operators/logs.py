@@ -44,6 +44,11 @@ def login_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
     running sums are block-parallel (``sequences.running_sum``) and the pairing
     is an equi-join on (user, level, k).
     """
+    return _paired(log, blocks).select("username", "login_time", "logout_time")
+
+
+def _paired(log: DataFrame, blocks: int | None) -> DataFrame:
+    """Each login with its number in the log, its logout's time and whether it has one."""
     ev = (log.filter(F.col("username").isNotNull() & F.col("action").isin("login", "logout"))
           .select("username", "ts", "seq", "action"))
     order = [F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last()]
@@ -62,11 +67,39 @@ def login_sessions(log: DataFrame, blocks: int | None = None) -> DataFrame:
     live = live.withColumn("_lvl", F.when(is_in, depth).otherwise(depth + 1))
     k = running_sum(live, ["username", "_lvl"], order, F.when(is_in, 1).otherwise(0), "_k")
     ins = k.filter(F.col("action") == "login").select(
-        "username", "_lvl", "_k", F.col("ts").alias("login_time"))
+        "username", "_lvl", "_k", F.col("ts").alias("login_time"), "seq")
     outs = k.filter(F.col("action") == "logout").select(
-        "username", "_lvl", "_k", F.col("ts").alias("logout_time"))
+        "username", "_lvl", "_k", F.col("ts").alias("logout_time"), F.lit(True).alias("_out"))
     return (ins.join(outs, ["username", "_lvl", "_k"], "left")
-            .select("username", "login_time", "logout_time"))
+            .withColumn("_out", F.coalesce("_out", F.lit(False))))
+
+
+def fold_bookmarks(state: DataFrame | None, day: DataFrame) -> DataFrame:
+    """L1 carried on: live bookmarks after a day's log, from those before it.
+
+    The state is ``bookmark_state``'s result.  A removal acts on earlier rows only, and what it
+    left is all that later days can touch, so the state and the day's log are enough.  Days are
+    folded in order.
+    """
+    if state is not None:
+        before = state.select("user", "potential_no", F.col("timestamp").alias("ts"), F.lit("add").alias("action"), "seq")
+        day = before.unionByName(day.select("user", "potential_no", "ts", "action", "seq"))
+    return bookmark_state(day)
+
+
+def fold_sessions(still_open: DataFrame | None, day: DataFrame,
+                  blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """L2 carried on: (sessions closed on the day, logins open after it), from those open before it.
+
+    The state is each user's stack of open logins, as rows ``(username, ts, seq)``; a logout
+    with nothing open is ignored and leaves no trace.  Days are folded in order.
+    """
+    log = day.select("username", "ts", "action", "seq")
+    if still_open is not None:
+        log = still_open.select("username", "ts", F.lit("login").alias("action"), "seq").unionByName(log)
+    found = _paired(log, blocks)
+    return (found.where("_out").select("username", "login_time", "logout_time"),
+            found.where("not _out").select("username", F.col("login_time").alias("ts"), "seq"))
 
 
-__all__ = ["bookmark_state", "login_sessions"]
+__all__ = ["bookmark_state", "login_sessions", "fold_bookmarks", "fold_sessions"]

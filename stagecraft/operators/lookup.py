@@ -16,6 +16,7 @@ from ..columns import (DETAIL_DATE_COLUMNS, DETAIL_GROUPS, DETAIL_READ_COLUMNS,
 from ..functions.text import non_blank
 from .filters import filter_in_keys_blank_report, filter_is_activity, filter_is_main
 from .ranking import dedupe_latest
+from .sequences import number_rows
 
 
 def _restrict(df: DataFrame, keys: DataFrame | None, key: str = KEY) -> DataFrame:
@@ -143,6 +144,51 @@ def facet_cascade(df: DataFrame, state=None, company=None, code=None) -> dict[st
     return out
 
 
+def facets_at_once(df: DataFrame, state=None, company=None, code=None,
+                   pickers=("Region", "Executive", "Potential Code")) -> DataFrame:
+    """A10 and A11 in one aggregate: (facet, value) of every list and picker.
+
+    The four lists of ``facet_cascade`` (named ``State/UT``, ``Company Name``, ``Potential
+    Code`` and the key) and the pickers (named ``pick `` and their column) are grouping sets
+    of one pass, each over its column where the picks before it hold.
+    """
+    def held(name, **picks):
+        keep = non_blank(c(name))
+        for col, value in picks.values():
+            keep = keep & (c(col) == F.lit(value))
+        return F.when(keep, c(name))
+
+    lists = {"State/UT": held("State/UT")}
+    if state is not None:
+        lists["Company Name"] = held("Company Name", s=("State/UT", state))
+    if company is not None:
+        lists["Potential Code"] = held("Potential Code", o=("Company Name", company))
+        if code is not None:
+            lists[KEY] = held(KEY, o=("Company Name", company), p=("Potential Code", code))
+    lists |= {f"pick {n}": c(n) for n in present(df, pickers)}
+    names = [f"_f{i}" for i in range(len(lists))]
+    flat = df.select(*[col.cast("string").alias(n) for n, col in zip(names, lists.values())])
+    sets = flat.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
+        *[F.grouping(n).alias(f"_g{n}") for n in names])
+    mine = [(F.col(f"_g{n}") == 0, F.lit(title), F.col(n)) for n, title in zip(names, lists)]
+    facet_name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for is_set, title, col in mine:
+        facet_name, value = F.when(is_set, title).otherwise(facet_name), F.when(is_set, col).otherwise(value)
+    return sets.select(facet_name.alias("facet"), value.alias("value")).where("value is not null")
+
+
+def numbered_history(modified: DataFrame, keys: DataFrame | None = None, key: str = KEY,
+                     tiebreak=(), out: str = "No.") -> DataFrame:
+    """Q10 with P15: each key's activities numbered from 1 in the order of ``stage_history``."""
+    act = filter_is_activity(_restrict(modified, keys, key))
+    order = [c(n).asc_nulls_last() for n in present(act, ["Created Date", *tiebreak])]
+    act = act.select(*[c(n) for n in present(act, HISTORY_READ_COLUMNS + list(tiebreak))], c(key).alias("_key"))
+    act = number_rows(act, order, out, ["_key"])
+    if "Description (Potential Details)" in act.columns:
+        act = act.withColumnRenamed("Description (Potential Details)", "Description")
+    return act.select(c(key), c(out), *[c(n) for n in present(act, HISTORY_COLUMNS)])
+
+
 def find_potential(srl: DataFrame, modified: DataFrame, state: str | None = None,
                    company: str | None = None, code: str | None = None, key: str = KEY,
                    tiebreak=(), history_tiebreak=()) -> tuple[DataFrame, DataFrame]:

@@ -77,3 +77,13 @@ def running_sum(df: DataFrame, part: list[str], order: list[Column], value: Colu
     if prev_min_out:
         j = j.withColumn(prev_min_out, F.least(F.col("_cmin"), F.col("_carry") + F.col("_lpmin")))
     return j.drop("_v", "_ls", "_lmin", "_lpmin", "_carry", "_cmin")
+
+
+def number_rows(df: DataFrame, order: list[Column], out: str = "No.", part: list[str] | None = None,
+                blocks: int | None = None) -> DataFrame:
+    """P15 for tables of any size: ``out`` = 1, 2, ... in ``order``, overall or within ``part``.
+
+    Range partitions are numbered by themselves and the counts of the earlier ones are carried
+    forward, so no window holds the table, nor a large part.
+    """
+    return running_sum(df, part or [], order, F.lit(1).cast("bigint"), out, blocks=blocks).drop(BLOCK)

@@ -102,7 +102,8 @@ def main_key_summary(main_rows: DataFrame, key: str = KEY, tiebreak=()) -> DataF
 
 
 def status_six_cases(srl: DataFrame, dsr: DataFrame, main_rows: DataFrame, *,
-                     key: str = KEY, dsr_tiebreak=(), main_tiebreak=()) -> DataFrame:
+                     key: str = KEY, dsr_tiebreak=(), main_tiebreak=(),
+                     days: DataFrame | None = None, mstat: DataFrame | None = None) -> DataFrame:
     """Fill the eight previous/current status columns of each status row.
 
     ``srl``: one row per key (the deduplicated snapshot); ``dsr``: every
@@ -117,6 +118,9 @@ def status_six_cases(srl: DataFrame, dsr: DataFrame, main_rows: DataFrame, *,
     5/6. none that day but some contacted earlier: CS = the row itself,
        PS = newest earlier activity by contact time;
     otherwise the columns keep their values.
+
+    Stored summaries (``activity_day_summary``, ``main_key_summary``) may be given as ``days``
+    and ``mstat``; ``dsr`` and ``main_rows`` are not read then.
     """
     srl = srl.withColumns({n: F.lit(None).cast("timestamp_ntz" if n in STATUS_DATE_COLUMNS
                                                 else "string")
@@ -126,7 +130,8 @@ def status_six_cases(srl: DataFrame, dsr: DataFrame, main_rows: DataFrame, *,
         (F.to_date(c("Modified Date")) if "Modified Date" in srl.columns
          else F.lit(None).cast("date")).alias("_md"))
 
-    days = activity_day_summary(dsr, key, dsr_tiebreak)
+    if days is None:
+        days = activity_day_summary(dsr, key, dsr_tiebreak)
     dstat = days.join(keys, _K).groupBy(_K).agg(
         F.count(F.lit(1)).alias("_dd"),
         F.max(F.when(F.col("_cd") == F.col("_md"), F.col("_n"))).alias("_sn"),
@@ -134,7 +139,8 @@ def status_six_cases(srl: DataFrame, dsr: DataFrame, main_rows: DataFrame, *,
         F.max(F.when(F.col("_cd") == F.col("_md"), F.col("_p2"))).alias("_s2"),
         F.max(F.when(F.col("_cd") < F.col("_md"), F.col("_last"))).alias("_b1o"),
     ).withColumn("_b1", F.col("_b1o._p")).drop("_b1o")
-    mstat = main_key_summary(main_rows, key, main_tiebreak)
+    if mstat is None:
+        mstat = main_key_summary(main_rows, key, main_tiebreak)
 
     cols = srl.columns
     j = (srl.join(dstat, c(key) == F.col(_K), "left").drop(_K)

@@ -11,22 +11,27 @@ cleaning chain).
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..columns import (DEFAULT_MIN_DATE, DSR_DATES, DSR_RENAME, KEY, P_DATES, P_RENAME,
-                       SRL_COLUMNS, STATUS_COLUMNS, STATUS_DATE_COLUMNS, c)
+from ..columns import (DEFAULT_MIN_DATE, DSR_DATES, DSR_DROP, DSR_RENAME, KEY, P_DATES, P_DROP,
+                       P_RENAME, SRL_COLUMNS, STATUS_COLUMNS, STATUS_DATE_COLUMNS, c, present)
 from ..functions.dates import DAYFIRST_FORMATS
 from ..functions.periods import ntz_lit
-from ..operators.clean import (clean_activities, clean_potentials, ensure_columns,
-                               parse_text_dates, rename_columns, unparsed_dates)
-from ..operators.merge import incremental_merge, union_by_name, watermark_frame
+from ..operators.clean import (clean_activities, clean_potentials, drop_columns_if_present,
+                               ensure_columns, parse_text_dates, rename_columns, unparsed_dates)
+from ..operators.layouts import inferred_formats
+from ..operators.merge import incremental_merge, union_by_name
 from ..operators.ranking import dedupe_keep_first, duplicate_rows
 from ..operators.status import common_new_counts, flag_new_existing, sales_reporting
 
 
+#: ``date_formats`` for layouts taken from each column's first text (operators.layouts)
+INFERRED = "inferred"
+
+
 @dataclass
 class BuildParams:
     """Everything the reference hard-codes, as arguments."""
@@ -34,7 +39,7 @@ class BuildParams:
     exec_suffixed: list = field(default_factory=list)
     owner_map: object = None
     min_date: str = DEFAULT_MIN_DATE
-    date_formats: object = DAYFIRST_FORMATS  # layouts, or column -> layouts
+    date_formats: object = DAYFIRST_FORMATS  # layouts, column -> layouts, or INFERRED
     load_order: tuple = ("_seq",)          # W1 "first in file order"
     dsr_tiebreak: tuple = ()                # total order of activity picks
     main_tiebreak: tuple = ("_seq",)        # total order of main-row picks
@@ -45,6 +50,20 @@ class BuildParams:
                     date_formats=self.date_formats)
 
 
+def params_of(name: str, raw: DataFrame, params: BuildParams) -> BuildParams:
+    """The parameters of one input: inferred layouts are found from its own columns."""
+    if params.date_formats != INFERRED:
+        return params
+    rename, dates = ((P_RENAME, P_DATES + STATUS_DATE_COLUMNS) if name.startswith("p")
+                     else (DSR_RENAME, DSR_DATES + ["Modified Date"]))
+    named = rename_columns(drop_columns_if_present(raw, P_DROP if name.startswith("p") else DSR_DROP), rename)
+    texts = [n for n in present(named, dates) if named.schema[n].dataType.typeName() == "string"]
+    order = present(named, params.load_order) or present(named, params.dsr_tiebreak)
+    if not order:
+        raise ValueError(f"{name}: inferred layouts need a load-order column; see sources.ordered")
+    return replace(params, date_formats=inferred_formats(named, texts, order))
+
+
 def clean_new_snapshot(p2_raw: DataFrame, params: BuildParams) -> DataFrame:
     """Cleaned new snapshot with the eight status columns ensured (before dedupe)."""
     p2 = clean_potentials(p2_raw, **params.cleaning())
@@ -58,7 +77,7 @@ def unparsed_inputs(tables_in: dict[str, DataFrame], params: BuildParams) -> Dat
     for name, df in tables_in.items():
         rename, dates = ((P_RENAME, P_DATES + STATUS_DATE_COLUMNS) if name.startswith("p")
                          else (DSR_RENAME, DSR_DATES))
-        counts = unparsed_dates(rename_columns(df, rename), dates, params.date_formats)
+        counts = unparsed_dates(rename_columns(df, rename), dates, params_of(name, df, params).date_formats)
         parts.append(counts.select(F.lit(name).alias("input"), "column", "unparsed"))
     return union_by_name(*parts)
 
@@ -124,6 +143,27 @@ def record_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_by_name(*parts)
 
 
+METRICS = "build_metrics"
+
+
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its row count and newest ``Created Date`` gathered while it is written."""
+    seen = Observation()
+    created = c("Created Date") if "Created Date" in df.columns else F.lit(None).cast("timestamp_ntz")
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(created).alias("max_created")), seen
+
+
+def stored_counts(metrics: DataFrame) -> DataFrame:
+    """A7 from the metrics stored with the tables (no table is read)."""
+    names = ["main_rdb", "weekly_rdb", "modified_rdb", "sales_reporting_logic"]
+    return metrics.where(F.col("table").isin(names)).select("table", F.col("rows").alias("n"))
+
+
+def stored_watermark(metrics: DataFrame) -> DataFrame:
+    """A1 from the metrics stored with the tables: one row, null if no date is known."""
+    return metrics.agg(F.max(F.when(F.col("table") == "main_rdb", F.col("max_created"))).alias("watermark"))
+
+
 def existing_new_counts(p2rdb: DataFrame, p1rdb: DataFrame) -> DataFrame:
     """A3 on the de-duplicated new snapshot."""
     return common_new_counts(p2rdb, p1rdb)
@@ -146,31 +186,38 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
     from ..sources.writers import write_table
 
     spark = tables_in["p1"].sparkSession
-    cl = params.cleaning()
+    own = {name: params_of(name, df, params) for name, df in tables_in.items()}
+    metrics: dict = {}
 
     def store_all(frames: dict) -> dict:
         """Write independent tables as concurrent jobs; read each back."""
         live = {n: f for n, f in frames.items() if f is not None}
+
+        def store(name: str) -> str:
+            frame, seen = observed(live[name])
+            path = write_table(frame, out_dir, name, fmt)
+            metrics[name] = seen.get
+            return path
+
         with ThreadPoolExecutor(max_workers=max(1, len(live))) as pool:
-            paths = dict(zip(live, pool.map(lambda n: write_table(live[n], out_dir, n, fmt),
-                                            live)))
+            paths = dict(zip(live, pool.map(store, live)))
         return {n: spark.read.format(fmt).load(p) for n, p in paths.items()}
 
     out = store_all({
-        "p1rdb": clean_potentials(tables_in["p1"], **cl),
-        "p2rdb_all": clean_new_snapshot(tables_in["p2"], params),
-        "dsr1rdb": clean_activities(tables_in["dsr1"], **cl),
-        "dsr2rdb": clean_activities(tables_in["dsr2"], **cl),
+        "p1rdb": clean_potentials(tables_in["p1"], **own["p1"].cleaning()),
+        "p2rdb_all": clean_new_snapshot(tables_in["p2"], own["p2"]),
+        "dsr1rdb": clean_activities(tables_in["dsr1"], **own["dsr1"].cleaning()),
+        "dsr2rdb": clean_activities(tables_in["dsr2"], **own["dsr2"].cleaning()),
     })
     out.update(store_all({
         "p2rdb_duplicates": duplicate_rows(out["p2rdb_all"]),
         "p2rdb_deduped": dedupe_keep_first(out["p2rdb_all"], KEY, params.load_order),
         "main_rdb": union_by_name(out["p1rdb"], out["dsr1rdb"]),
     }))
-    # the watermark is read once, as a literal that the filters push to the scans
+    # the watermark was gathered while the table was written; a literal that filters push to scans
     wm = None
     if "Created Date" in out["main_rdb"].columns:
-        mark = watermark_frame(out["main_rdb"]).first()["watermark"]
+        mark = metrics["main_rdb"]["max_created"]
         wm = F.lit(None).cast("timestamp_ntz") if mark is None else ntz_lit(mark)
     merged = incremental_merge(out["p1rdb"], out["p2rdb_deduped"], out["dsr1rdb"], out["dsr2rdb"],
                                out["main_rdb"], wm)
@@ -179,6 +226,9 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
         | {"p2rdb": stored_snapshot(out["p2rdb_deduped"], out["p1rdb"])}))
     srl = sales_reporting(out["p2rdb_deduped"], out["p1rdb"], out["dsr2rdb"], out["modified_rdb"],
                           dsr_tiebreak=params.dsr_tiebreak, main_tiebreak=params.main_tiebreak,
-                          date_formats=params.date_formats)
+                          date_formats=own["p2"].date_formats)
     out.update(store_all({"sales_reporting_logic": srl}))
+    rows = [(name, m["rows"], m["max_created"]) for name, m in sorted(metrics.items())]
+    seen = spark.createDataFrame(rows, "table string, rows long, max_created timestamp_ntz")
+    out[METRICS] = spark.read.format(fmt).load(write_table(seen, out_dir, METRICS, fmt))
     return out | _old_side(out)

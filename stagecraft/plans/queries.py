@@ -84,7 +84,7 @@ def q_filter_after_watermark(spark, sf_dir):
 
 @register("watermark", O.with_ctes("SELECT watermark FROM wm"))
 def q_watermark(spark, sf_dir):
-    return MG.watermark_frame(tables(spark, sf_dir)["main_rdb"])
+    return B.stored_watermark(tables(spark, sf_dir)[B.METRICS])
 
 
 @register("sales_reporting", O.with_ctes(f"SELECT * FROM {SRL}"))
@@ -119,7 +119,7 @@ def q_duplicate_rows(spark, sf_dir):
     "SELECT 'modified_rdb', count(*) FROM modified_rdb UNION ALL "
     f"SELECT 'sales_reporting_logic', count(*) FROM {SRL}"))
 def q_record_counts(spark, sf_dir):
-    return B.record_counts(tables(spark, sf_dir))
+    return B.stored_counts(tables(spark, sf_dir)[B.METRICS])
 
 
 @register("common_new_counts", O.with_ctes(

@@ -19,6 +19,7 @@ from ..operators import filters as FL
 from ..operators import grid as G
 from ..operators import logs as LG
 from ..operators import lookup as LK
+from ..operators import ranking as RK
 from ..registry import register, tables
 from ..sources import derived as dv
 from ..sources import readers as RD
@@ -236,16 +237,14 @@ def _cb_keys(spark, sf_dir):
     return G.drill_down(_srl(spark, sf_dir), PICK_STAGES, ["CB"])
 
 
-_CB_KEYS_SQL = (f"SELECT DISTINCT \"Potential No.\" AS dk FROM {SRL} "
+# the drilled stage and the flag are the snapshot's own, so the oracle needs no status rule
+_CB_KEYS_SQL = (f"SELECT DISTINCT \"Potential No.\" AS dk FROM srl0 "
                 f"WHERE \"Potential No.\" IS NOT NULL AND {_drill_sql_pred('CB')}")
 
 
-# the key list as a materialised relation: the status table behind it is computed once
-_CB_CTE = f", cb_keys AS MATERIALIZED ({_CB_KEYS_SQL})\n"
-
 
 @register("keys_semi_filter", O.with_ctes(
-    _CB_CTE + "SELECT m.* FROM modified_rdb m SEMI JOIN cb_keys ON m.\"Potential No.\" = dk"))
+    f"SELECT * FROM modified_rdb WHERE \"Potential No.\" IN ({_CB_KEYS_SQL}) ORDER BY ALL"))
 def q_keys_semi_filter(spark, sf_dir):
     t = tables(spark, sf_dir)
     keys = _cb_keys(spark, sf_dir)
@@ -254,8 +253,8 @@ def q_keys_semi_filter(spark, sf_dir):
 
 
 @register("filter_in_keys_blank_report", O.with_ctes(
-    _CB_CTE + "SELECT m.* FROM modified_rdb m SEMI JOIN cb_keys ON m.\"Potential No.\" = dk "
-    "WHERE (\"Report ID\" IS NULL OR trim(\"Report ID\", ' ') = '')"))
+    f"SELECT * FROM modified_rdb WHERE \"Potential No.\" IN ({_CB_KEYS_SQL}) "
+    "AND (\"Report ID\" IS NULL OR trim(\"Report ID\", ' ') = '') ORDER BY ALL"))
 def q_filter_in_keys_blank_report(spark, sf_dir):
     return FL.filter_in_keys_blank_report(tables(spark, sf_dir)["modified_rdb"],
                                           _cb_keys(spark, sf_dir))
@@ -367,7 +366,8 @@ def q_latest_details(spark, sf_dir):
     "SELECT " + ", ".join(O.qi(n) for n in _READ_PRESENT + ["_seq"]) +
     " FROM (" + _latest_main_sql() + ")"))
 def q_latest_per_key(spark, sf_dir):
-    return LK.latest_details(tables(spark, sf_dir)["modified_rdb"], tiebreak=dv.MAIN_TIEBREAK)
+    main = FL.filter_is_main(tables(spark, sf_dir)["modified_rdb"])
+    return RK.latest_per_key(main.select(*[c(n) for n in _READ_PRESENT + ["_seq"]]), tiebreak=dv.MAIN_TIEBREAK)
 
 
 @register("potential_details", O.with_ctes(f"SELECT {_details_select()} FROM ({_latest_main_sql()}) x"))
@@ -396,7 +396,7 @@ def q_history_order(spark, sf_dir):
     return LK.stage_history(tables(spark, sf_dir)["modified_rdb"], tiebreak=dv.DSR_TIEBREAK)
 
 
-_FIND_KEYS = (f"SELECT DISTINCT \"Potential No.\" FROM {SRL} WHERE \"Company Name\" = {O.s(COMPANY)} "
+_FIND_KEYS = (f"SELECT DISTINCT \"Potential No.\" FROM p2rdb WHERE \"Company Name\" = {O.s(COMPANY)} "
               "AND trim(\"Potential No.\", ' ') <> ''")
 
 
@@ -410,8 +410,7 @@ def q_find_potential(spark, sf_dir):
 
 
 @register("find_potential_history", O.with_ctes(
-    f", find_keys AS MATERIALIZED ({_FIND_KEYS})\n" +
-    _HIST_SQL + " AND \"Potential No.\" IN (SELECT * FROM find_keys)"))
+    _HIST_SQL + f" AND \"Potential No.\" IN ({_FIND_KEYS}) ORDER BY ALL"))
 def q_find_potential_history(spark, sf_dir):
     t = tables(spark, sf_dir)
     _, hist = LK.find_potential(t["sales_reporting_logic"], t["modified_rdb"], STATE, COMPANY,
@@ -692,10 +691,10 @@ def q_report_export_filters(spark, sf_dir):
 
 
 @register("details_and_history_export_history", O.with_ctes(
-    _CB_CTE + "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
+    "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
     "\"Original Stage\", \"New Stage\", CAST(\"Closing Date\" AS DATE) AS \"Closing Date\", "
     "\"Description (Potential Details)\" AS \"Description\" FROM modified_rdb "
-    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN (SELECT dk FROM cb_keys)"))
+    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN ({_CB_KEYS_SQL}) ORDER BY ALL"))
 def q_details_and_history_export_history(spark, sf_dir):
     t = tables(spark, sf_dir)
     keys = _cb_keys(spark, sf_dir)
@@ -717,11 +716,11 @@ def q_bookmarked_history(spark, sf_dir):
 
 
 @register("history_export_by_key", O.with_ctes(
-    _CB_CTE + f"SELECT *, {_sheet_sql(chr(34) + 'Potential No.' + chr(34))} AS sheet FROM ("
+    f"SELECT *, {_sheet_sql(chr(34) + 'Potential No.' + chr(34))} AS sheet FROM ("
     "SELECT \"Potential No.\", CAST(\"Created Date\" AS DATE) AS \"Created Date\", "
     "\"Original Stage\", \"New Stage\", CAST(\"Closing Date\" AS DATE) AS \"Closing Date\", "
     "\"Description (Potential Details)\" AS \"Description\" FROM modified_rdb "
-    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN (SELECT dk FROM cb_keys))"))
+    f"WHERE \"DSR Type\" IS NOT NULL AND \"Potential No.\" IN ({_CB_KEYS_SQL})) ORDER BY ALL"))
 def q_history_export_by_key(spark, sf_dir):
     t = tables(spark, sf_dir)
     hist = LK.history_for_export(t["modified_rdb"], _cb_keys(spark, sf_dir),

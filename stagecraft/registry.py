@@ -102,6 +102,10 @@ PRESENTATION: dict[str, dict[str, tuple[str, str]]] = {
     "keys_semi_filter": dict.fromkeys(_LINEAGE_IDS, _TEXT),
     "union_by_name": dict.fromkeys(_LINEAGE_IDS, _TEXT),
     "weekly_rdb": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "dated_loads": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "dated_load_counts": dict.fromkeys(["load_date"], _DATE),
+    "row_number_details": dict.fromkeys(
+        ["Created Date", "Last Contact Date", "Next Followup Date", "Closing Date"], _DATE),
 }
 
 
@@ -136,3 +140,4 @@ def register(name: str, oracle: str | None = None):
 # Importing the query modules fills QUERIES.
 from .plans import queries as _queries  # noqa: E402,F401
 from .plans import reports as _reports  # noqa: E402,F401
+from .plans import stored as _stored  # noqa: E402,F401

@@ -23,11 +23,12 @@ def normalize_nulls(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, tokens=CSV_NULL_TOKENS,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool = True) -> DataFrame:
     """A headed CSV file or a folder of them, every column as text, then S2.
 
-    Files are split over tasks.  Set ``multi_line`` for exports whose quoted values hold
-    line breaks: such a file is read by one task, so give a large export as many files.
+    Quoted values may hold line breaks; a file is then read by one task, so give a large
+    export as many files.  ``multi_line=False`` splits files over tasks: only for exports
+    known to hold no line break inside quotes.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("multiLine", multi_line).option("escape", '"').csv(path))
