@@ -35,8 +35,9 @@ from .common import materialize, slices
 
 SHARDS = 8
 FILTER_BITS = 26
-BLOCK = 1 << 22
-KEPT_PHRASES = 300_000
+BLOCK = 1 << 20
+HELD = 1 << 21
+KEPT_PHRASES = 120_000
 WORDS = 4
 
 _WORD, _BLANK, _CUT = 0, 1, 2
@@ -176,7 +177,7 @@ def mined(block: Block, level: int, filters: list[Filter]) -> list[np.ndarray]:
 
 def _by_language(batches):
     """(language, texts) of each batch of (lang, text binary)."""
-    for batch in slices(batches, 8192):
+    for batch in slices(batches, 1024):
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
@@ -203,7 +204,7 @@ def _local(rows: DataFrame, level: int, filters: list[Filter], least: int, log:
                     # 61 bits of the hash and the shard in one number
                     held.append(h & np.uint64(0xFFFFFFFFFFFFFFF8) | shard)
                     n += len(h)
-                if n > 1 << 22:
+                if n > HELD:
                     yield from sums()
                     held, n = [], 0
         if n:
