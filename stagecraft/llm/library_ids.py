@@ -1,8 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, at several times its speed.
 
 A text falls into segments that the library tokenises independently of each other.  Each
-distinct segment is sent to the library once and its ids are kept in a bounded table; a
-document's ids are the joined ids of its segments.  Segments not seen before are joined
+distinct segment is sent to the library once and its ids are kept in two bounded tables (a
+full one becomes the older one, from which segments met again return); a document's ids are
+the joined ids of its segments.  Segments not seen before are joined
 by a separator and encoded together, and their ids are told apart by byte length.
 
 Two layouts are recognised by the tokenizer file: byte-level BPE with its usual split
@@ -43,7 +44,7 @@ def text_blocks(text: str, size: int = BLOCK):
 class LibraryIds:
     """``encode(texts)`` gives the ids of each text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, limit: int = 600_000, limit_bytes: int = 32 << 20):
+    def __init__(self, path: str, limit: int = 300_000, limit_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -60,6 +61,7 @@ class LibraryIds:
             cut = len(self.suffix) if self.suffix and token.endswith(self.suffix) else 0
             self.bytes_of[i] = len(token) - cut
         self.cache: dict = {}
+        self.older: dict = {}
         self.limit, self.limit_bytes, self.held = limit, limit_bytes, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -87,14 +89,25 @@ class LibraryIds:
         else:
             parts = [_SEGMENT.findall(t) for t in texts]
         cache = self.cache
-        new = set().union(*parts).difference(cache)
-        if new:
-            self._fill(list(new))
-        ids = [b"".join(map(cache.__getitem__, p)) for p in parts]
+        found = [list(map(cache.get, p)) for p in parts]
+        gaps = [(f, p, [j for j, ids in enumerate(f) if ids is None]) for f, p in zip(found, parts) if None in f]
+        if gaps:
+            new = []
+            for s in set().union(*[[p[j] for j in at] for _, p, at in gaps]):
+                ids = self.older.get(s)
+                if ids is None:
+                    new.append(s)
+                else:
+                    cache[s] = ids
+            if new:
+                self._fill(new)
+            for f, p, at in gaps:
+                for j in at:
+                    f[j] = cache[p[j]]
         if len(cache) > self.limit or self.held > self.limit_bytes:
-            cache.clear()
-            self.held = 0
-        return ids
+            # what is met again comes back from the older table; the rest goes with it
+            self.older, self.cache, self.held = cache, {}, 0
+        return [b"".join(f) for f in found]
 
     def _fill(self, new: list) -> None:
         self.held += sum(map(len, new))
