@@ -142,23 +142,25 @@ def neighbours(rows: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Signatures of each document, of its edited text and of the next document.
 
-    A document's head and signature travel together to its predecessor, so signatures
-    are neither stored nor joined a second time.
+    A document's signature is computed once, in the scan, and travels with its text; its head
+    and signature travel together to its predecessor.
     """
     rows = _rows(docs)
     keys = materialize(neighbours(rows), "neighbours")
+    # before the texts are shuffled: both sides below read the same shuffled rows
+    rows = signature(rows, "text", "sig")
     if keys.where("copies > 1").limit(1).count():
         rows = rows.dropDuplicates(["id", "tie"])
     placed = rows.join(keys, ["id", "tie"])
-    own = placed.select("id", "tie", "text", "n", "copies")
-    head = signature(placed, "text", "next_sig").select(
+    own = placed.select("id", "tie", "text", "n", "copies", "sig")
+    head = placed.select(
         F.col("prev.id").alias("id"), F.col("prev.tie").alias("tie"),
-        F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("head"), "next_sig")
+        F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("head"), F.col("sig").alias("next_sig"))
     both = own.join(head, ["id", "tie"]).withColumn(
         "edited", F.expr("concat(substring(text, 1, cast(n - n div 2 as int)), head)"))
-    both = both.select("id", "n", "copies", "next_sig", "text", "edited",
+    both = both.select("id", "n", "copies", "sig", "next_sig", "edited",
                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    return signature(signature(both, "text", "sig").drop("text"), "edited", "edited_sig").drop("edited")
+    return signature(both, "edited", "edited_sig").drop("edited")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
