@@ -21,8 +21,8 @@ share meets as one row per task, and no pair of occurrences is ever built.
 
 Defined cases: texts that are null, empty or shorter than a window lose nothing; a window
 repeated inside one document only, or in rows of equal ``doc_id``, stays; a null
-``doc_id`` counts as larger than all others; rows are told apart by id and text, so
-repeated ids do no harm; an empty table gives no row; other columns are not read.
+``doc_id`` counts as 2^63-1, the largest; rows are told apart by id and a 64-bit hash of
+the text, so repeated ids do no harm; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -111,16 +111,18 @@ def anchors_of(words: list[bytes], window: int, seed: int):
     return grams[p], p, first, last, two.runs(p2, first, last + window)
 
 
-ANCHORS = "anchor long, run long, doc long, tie int, pos int, head int, tail int"
+ANCHORS = "anchor long, run long, doc long, tie long, pos int, head int, tail int"
 
 
 def _documents(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc, tie, text): the id with null as the largest, and a hash that tells texts apart."""
+    """(doc, tie, text, no_id): the id with null as the largest, and a hash that tells texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [F.struct(F.col("text").isNull().alias("no_text"),
                      F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")).alias("rest")] * carry
-    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *rest)
-            .select("doc", F.hash("text").alias("tie"), F.col("text").cast("binary").alias("text"), *["rest"] * carry))
+    doc_id = F.col("doc_id").cast("long")
+    return (docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), text.alias("text"), doc_id.isNull().alias("no_id"), *rest)
+            .select("doc", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"), "no_id",
+                    *["rest"] * carry))
 
 
 def _packed(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -135,7 +137,7 @@ def _packed(docs: DataFrame, carry: bool = False) -> DataFrame:
             body = pa.array([packer.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], body, *batch.columns[3:]],
-                names=["doc", "tie", "body", "rest"][:batch.num_columns])
+                names=["doc", "tie", "body", "no_id", "rest"][:batch.num_columns])
 
     rows = _documents(docs, carry)
     schema = T.StructType([f if f.name != "text" else T.StructField("body", T.BinaryType()) for f in rows.schema])
@@ -164,7 +166,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
                                        p, p - first, p - last)):
                     c.append(v)
             if cols[0]:
-                kinds = [np.int64] * 3 + [np.int32] * 4
+                kinds = [np.int64] * 4 + [np.int32] * 3
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], names=names)
 
@@ -188,8 +190,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
     partly = (shared.join(classes, key).where(F.col("doc") == F.col("low.doc"))
               .join(several, "anchor", "left_semi")
               .select("doc", "tie", "pos", "head", "tail")
-              .groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "head", "tail")).alias("runs")))
-    windows = materialize(_extend(_packed(docs).join(partly, ["doc", "tie"]), window), "windows")
+              .groupBy("doc", "tie").agg(F.collect_set(F.struct("pos", "head", "tail")).alias("runs")))
+    once = _packed(docs).dropDuplicates(["doc", "tie"])  # equal rows have equal windows
+    windows = materialize(_extend(once.join(partly, ["doc", "tie"]), window), "windows")
     lowest = materialize(windows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
                          .where("low < high"), "low-windows")
     parts = (windows.join(lowest, ["w1", "w2"]).where("doc > low")
@@ -211,13 +214,13 @@ def _extend(rows: DataFrame, window: int) -> DataFrame:
                                        two.runs(two.prefix(h), at, at + window).view(np.int64),
                                        np.full(len(at), doc), np.full(len(at), tie), at)):
                     c.append(v)
-            kinds = [np.int64] * 3 + [np.int32] * 2
+            kinds = [np.int64] * 4 + [np.int32]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)],
                     names=["w1", "w2", "doc", "tie", "at"])
 
-    return rows.select("doc", "tie", "body", "runs").mapInArrow(run, "w1 long, w2 long, doc long, tie int, at int")
+    return rows.select("doc", "tie", "body", "runs").mapInArrow(run, "w1 long, w2 long, doc long, tie long, at int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -240,7 +243,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
                  pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
                 names=["doc", "tie", "spans"])
 
-    return grouped.mapInArrow(merge, "doc long, tie int, spans array<struct<from:int,to:int>>")
+    return grouped.mapInArrow(merge, "doc long, tie long, spans array<struct<from:int,to:int>>")
 
 
 def kept_words(words: list[bytes], spans) -> list[bytes]:
@@ -272,7 +275,7 @@ def kept_digests(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS)
 
 def _apply(docs, window, seed, shape, name, carry=False):
     found = repeats(docs, window, seed)
-    rows = _packed(docs, carry).join(found, ["doc", "tie"], "left").select("doc", "body", "spans", *["rest"] * carry)
+    rows = _packed(docs, carry).join(found, ["doc", "tie"], "left").select("doc", "body", "spans", "no_id", *["rest"] * carry)
     span = "array<struct<from:int,to:int>>"
 
     def cut(batches):
@@ -285,11 +288,11 @@ def _apply(docs, window, seed, shape, name, carry=False):
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(shape(text, left, n_removed[-1]).decode())
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, no_id = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64(), mask=doc == NO_ID), pa.array(n_words, pa.int64()),
-                 pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[2:]],
-                names=["doc_id", "n_words", "n_removed", name, "spans", "rest"][:3 + batch.num_columns - 1])
+                [pa.array(doc, pa.int64(), mask=no_id), pa.array(n_words, pa.int64()),
+                 pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column(2), *batch.columns[4:]],
+                names=["doc_id", "n_words", "n_removed", name, "spans", "rest"][:batch.num_columns + 1])
 
     out = T.StructType.fromDDL(f"doc_id long, n_words long, n_removed long, {name} string, spans {span}")
     return rows.mapInArrow(cut, T.StructType([*out, *([rows.schema["rest"]] if carry else [])]))
