@@ -15,11 +15,14 @@ as the bound, in the other cells that the stopping radius reaches.
 
 Copies: of equal vectors only the ``k + 1`` smallest ids can be among a query's nearest,
 so only those are indexed (exact, and no cell grows with a vector that many rows share).
-
-Defined cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, nor do rows with a null ``vec_id``; repeated rows
-count once; equal distances go to the smaller id; with fewer than ``k`` candidates all are
-returned; without queries or vectors there is no row; other columns are not read.
+Equal query vectors are one question: its ``k + 1`` nearest rows hold the ``k`` nearest of
+each query that asks it, whose own row is then left out.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no
+part, nor do rows with a null ``vec_id``; vectors of different lengths have no distance, so
+each length is searched by itself; repeated rows count once; equal distances go to the
+smaller id; with fewer than ``k`` candidates all are returned; without queries or vectors
+there is no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -161,7 +164,7 @@ class Cells:
 
 
 def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, point: np.ndarray, vector: np.ndarray,
-           own: int, k: int, bound: float, factor: float) -> list[tuple[float, int]]:
+           k: int, bound: float, factor: float) -> list[tuple[float, int]]:
     """The k nearest of one cell, by incremental projected neighbours and the stopping test."""
     best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
     for away, rows in tree.visit(point):
@@ -170,7 +173,6 @@ def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, point: np.ndarray
             break
         near = rows if math.isinf(bound) else rows[
             np.sqrt(((tree.points[rows] - point) ** 2).sum(axis=1)) <= radius]
-        near = near[ids[near] != own]
         if not len(near):
             continue
         d = np.sqrt(((vectors[near] - vector) ** 2).sum(axis=1))
@@ -189,14 +191,11 @@ def _matrix(column, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, v) of the vectors that take part, and their length."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(vec_id, v) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = "exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))"
-    rows = rows.where(f"vec_id is not null and v is not null and size(v) > 0 and not {bad} and exists(v, x -> x <> 0)")
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    length = common["n"] if common else 0
-    return rows.where(F.size("v") == length), length
+    return rows.where(f"vec_id is not null and v is not null and size(v) > 0 and not {bad} and exists(v, x -> x <> 0)")
 
 
 INDEXED = "cell int, vec_id long, v array<double>, p array<double>"
@@ -209,13 +208,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
 
     ``is_query`` is a condition on ``vec_id``; candidates are all rows but the query's own.
     """
-    rows, length = usable(vectors, id_col, vec_col)
+    rows = usable(vectors, id_col, vec_col)
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    found = [_nearest(rows.where(F.size("v") == n), n, is_query, k, cell_rows, certainty) for n in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nearest(rows: DataFrame, length: int, is_query, k: int, cell_rows: int, certainty: float) -> DataFrame:
+    """The search among vectors of one length."""
     copies = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     kept = rows.withColumn("c", copies).where(F.col("c") <= k + 1).select("vec_id", "v").dropDuplicates(["v", "vec_id"])
     kept = materialize(kept, "vectors")
     n = kept.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     matrix = projection(length)
 
     def project(batches):
@@ -238,7 +247,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
                      pa.array(list(p), pa.list_(pa.float64()))], names=["cell", "vec_id", "v", "p"])
 
     index = materialize(kept.mapInArrow(place, INDEXED), "vector-index")
-    queries = materialize(rows.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(place, INDEXED), "queries")
+    askers = rows.where(is_query).dropDuplicates(["vec_id"])
+    questions = materialize(askers.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v"), "questions")
+    asked_by = askers.join(questions.withColumnRenamed("vec_id", "query_id"), "v").select(
+        F.col("vec_id").alias("own"), "query_id")
+    queries = materialize(questions.mapInArrow(place, INDEXED), "queries")
     asked = queries.select("cell", F.col("vec_id").alias("query_id"), "v", "p", F.lit(float("inf")).alias("bound"))
 
     def in_cell(queries_of: pa.Table, cell: pa.Table) -> pa.Table:
@@ -248,7 +261,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
             tree = KdTree(_matrix(cell.column("p")), LEAF_ROWS)
             for q, v, p, bound in zip(queries_of.column("query_id").to_pylist(), _matrix(queries_of.column("v")),
                                       _matrix(queries_of.column("p")), queries_of.column("bound").to_pylist()):
-                out.extend((q, d, i) for d, i in search(tree, base, ids, p, v, q, k, bound, factor))
+                out.extend((q, d, i) for d, i in search(tree, base, ids, p, v, k + 1, bound, factor))
         return pa.Table.from_pydict({"query_id": pa.array([o[0] for o in out], pa.int64()),
                                      "vec_id": pa.array([o[2] for o in out], pa.int64()),
                                      "score": pa.array([o[1] for o in out], pa.float64())})
@@ -258,7 +271,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
 
     home = materialize(look(asked), "home-cells")
     bounds = home.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+        F.when(F.count(F.lit(1)) > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
     bounded = (queries.withColumnRenamed("vec_id", "query_id").join(bounds, "query_id", "left")
                .select("cell", "query_id", "v", "p", F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
 
@@ -276,9 +289,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
                     names=["cell", "query_id", "v", "p", "bound"])
 
     others = look(bounded.mapInArrow(spread, "cell int, query_id long, v array<double>, p array<double>, bound double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return (home.unionByName(others).dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank.cast("int"))
-            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    def first(df, by, n):
+        rank = F.row_number().over(Window.partitionBy(by).orderBy("score", "vec_id"))
+        return df.withColumn("rank", rank.cast("int")).where(F.col("rank") <= n)
+
+    answers = materialize(first(home.unionByName(others).dropDuplicates(["query_id", "vec_id"]), "query_id", k + 1)
+                          .drop("rank"), "answers")
+    mine = asked_by.join(answers, "query_id").where("vec_id <> own").drop("query_id")
+    return first(mine, "own", k).select(F.col("own").alias("query_id"), "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
