@@ -3,7 +3,7 @@
 Documents are tokenised once.  Every full sequence that lies inside a document is a piece
 of its own at once; only the rest of each document (shorter than a sequence) takes part
 in packing.  Rests are dealt to randomised groups of about ``group_docs`` documents (by a
-hash of id and text), and each group is packed on its own: longest piece first, each into
+hash of id, text, input partition and, for equal rows, their number in it), and each group is packed on its own: longest piece first, each into
 the first sequence with room, found by a tournament tree whose leaves are the sequences'
 free space.  Sequences that keep more than ``max_padding`` free places are emptied again;
 their pieces are cut freely into full sequences, and what is left at the end into
@@ -95,16 +95,21 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, groups:
                     capacity: int = SEQUENCE) -> DataFrame:
     """Full sequences inside documents (no ids kept) and each document's rest with its ids."""
     tail = b"" if end_id is None else struct.pack("<I", end_id)
-    rows = document_columns(docs).withColumn("tie", F.xxhash64("doc_id", "text"))
-    rows = rows.select("doc_id", "tie", F.pmod("tie", F.lit(groups)).alias("group"), "text")
+    rows = document_columns(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), "text")
 
     def cut(batches):
+        from pyspark import TaskContext
         step = 4 * capacity
+        part_id, seen = TaskContext.get().partitionId(), {}
         for batch in slices(batches, 512):
             out: dict[str, list] = {k: [] for k in ("group", "doc_id", "tie", "start", "length", "crc",
                                                     "doc_tokens", "ids")}
-            ids_of = encode_rows(tokenizer, batch.column(3).to_pylist())
-            for doc, tie, group, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), ids_of):
+            ids_of = encode_rows(tokenizer, batch.column(2).to_pylist())
+            for doc, tie, ids in zip(*(batch.column(i).to_pylist() for i in range(2)), ids_of):
+                # equal rows are numbered, so that they spread over the groups; whichever comes
+                # first, the same numbers are given, so a task that runs again deals the same rows
+                number = seen[tie] = seen.get(tie, -1) + 1
+                group = _dealt(tie, number, part_id) % groups
                 ids += tail
                 total = len(ids) // 4
                 for at in range(0, len(ids), step):
@@ -120,6 +125,15 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, groups:
     return rows.mapInArrow(cut, PIECES)
 
 
+def _dealt(*keys: int) -> int:
+    """A well-spread number of the keys."""
+    h = 0
+    for k in keys:
+        h = (h ^ k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 32
+    return h
+
+
 def _narrow(ids: np.ndarray) -> bytes:
     """Ids as uint16 behind a marker when they fit, as most vocabularies' do."""
     if ids.size and int(ids.max()) > 0xFFFF:
