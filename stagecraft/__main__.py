@@ -1,11 +1,14 @@
 """Command line: the batch build from CSV exports, and the movement report.
 
     python -m stagecraft build  --input DIR --output DIR [options]
+    python -m stagecraft load   --input DIR --output DIR --load-date DATE [options]
     python -m stagecraft report --tables DIR --output DIR [options]
 
 ``build`` reads ``p1.csv``, ``p2.csv``, ``dsr1.csv`` and ``dsr2.csv`` from
 ``--input`` (all text, pandas-style null tokens), tags each with its file order,
 and writes the cleaned, merged and status tables under ``--output``.
+``load`` reads ``p.csv`` and ``dsr.csv`` of one date and writes only that date's part of
+tables kept by load date; running it again replaces that part.
 ``report`` reads the stored status and merged tables and writes the filtered
 movement grid (with its filter block), the drill-down details and the stage
 histories of the drilled potentials.
@@ -39,14 +42,14 @@ def _formats(given):
     return out
 
 
-def build(spark: SparkSession, args) -> dict:
-    from .plans.build import INFERRED, BuildParams, run_build, unparsed_inputs
+def _inputs(spark: SparkSession, args, names) -> tuple:
+    """The exports ``names`` and the build's parameters."""
+    from .plans.build import INFERRED, BuildParams
     from .sources.ordered import number_by_file
     from .sources.readers import scan_csv
-    from .sources.writers import write_table
 
     inputs = {}
-    for name in ("p1", "p2", "dsr1", "dsr2"):
+    for name in names:
         # an export is a file or a folder of files; rows are numbered in the order of the files
         inputs[name] = number_by_file(scan_csv(spark, f"{args.input.rstrip('/')}/{name}.csv",
                                                multi_line=not args.split_files))
@@ -56,6 +59,21 @@ def build(spark: SparkSession, args) -> dict:
                          date_formats=INFERRED if args.infer_dates else _formats(args.date_format),
                          load_order=("_seq",), main_tiebreak=("_seq",),
                          dsr_tiebreak=("_seq",))
+    return inputs, params
+
+
+def load(spark: SparkSession, args) -> dict:
+    from .plans.build import run_load
+
+    inputs, params = _inputs(spark, args, ("p", "dsr"))
+    return {name: f"{args.output.rstrip('/')}/{name}" for name in run_load(inputs, params, args.output, args.load_date)}
+
+
+def build(spark: SparkSession, args) -> dict:
+    from .plans.build import run_build, unparsed_inputs
+    from .sources.writers import write_table
+
+    inputs, params = _inputs(spark, args, ("p1", "p2", "dsr1", "dsr2"))
     out = run_build(inputs, params, args.output, args.format)
     out["unparsed_dates"] = write_table(unparsed_inputs(inputs, params), args.output,
                                         "unparsed_dates", args.format)
@@ -102,13 +120,9 @@ def report(spark: SparkSession, args) -> dict:
     return paths
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="stagecraft")
-    sub = p.add_subparsers(dest="cmd", required=True)
-    b = sub.add_parser("build", help="clean, merge and derive the status table")
+def _input_options(b: argparse.ArgumentParser) -> None:
     b.add_argument("--input", required=True)
     b.add_argument("--output", required=True)
-    b.add_argument("--format", default="parquet")
     b.add_argument("--min-date", default="2021-01-01")
     b.add_argument("--date-format", action="append",
                    help="a layout for all date columns, or Column=layout; repeat to try several")
@@ -121,6 +135,17 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--aliases", help='JSON object, e.g. {"Alias": "Name"}')
     b.add_argument("--suffixed", help="JSON list of names that get the ' - (EX)' suffix")
     b.add_argument("--owner-map", help="JSON object owner label -> address")
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="stagecraft")
+    sub = p.add_subparsers(dest="cmd", required=True)
+    b = sub.add_parser("build", help="clean, merge and derive the status table")
+    b.add_argument("--format", default="parquet")
+    d = sub.add_parser("load", help="the build's next load, kept by its date")
+    d.add_argument("--load-date", required=True, help="YYYY-MM-DD")
+    for x in (b, d):
+        _input_options(x)
     r = sub.add_parser("report", help="movement grid, drill-down and histories")
     r.add_argument("--tables", required=True)
     r.add_argument("--output", required=True)
@@ -148,7 +173,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     args = parser().parse_args(argv)
     if spark is None:
         spark = SparkSession.builder.appName(f"stagecraft-{args.cmd}").getOrCreate()
-    out = build(spark, args) if args.cmd == "build" else report(spark, args)
+    out = {"build": build, "load": load, "report": report}[args.cmd](spark, args)
     print(json.dumps(out, indent=1, default=str))
     return out
 

@@ -88,12 +88,14 @@ def period_end_col(criterion: str, as_of: Column) -> Column:
 
 def period_label_col(criterion: str, as_of: Column, start=None, end=None) -> Column:
     """Label of a period; ``Custom`` shows its own ``start`` and ``end`` dates."""
+    ymd = "yyyy-MM-dd"
+    if criterion == CUSTOM and isinstance(start, Column):  # a period of its own for every row
+        return F.concat(F.lit("From: "), F.date_format(start, ymd), F.lit(" To: "), F.date_format(end, ymd))
     if criterion == CUSTOM:
         s, e = period_days(criterion, start=start, end=end)
         return F.lit(f"From: {s.isoformat()} To: {e.isoformat()}")
     d = F.to_date(as_of)
     s, e = period_start_col(criterion, d), period_end_col(criterion, d)
-    ymd = "yyyy-MM-dd"
     if criterion in (LAST_WEEK, CURRENT_WEEK):
         return F.concat(F.lit(criterion + ": "), F.date_format(s, ymd), F.lit(" to "),
                         F.date_format(e, ymd))

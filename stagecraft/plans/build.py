@@ -232,3 +232,39 @@ def run_build(tables_in: dict[str, DataFrame], params: BuildParams, out_dir: str
     seen = spark.createDataFrame(rows, "table string, rows long, max_created timestamp_ntz")
     out[METRICS] = spark.read.format(fmt).load(write_table(seen, out_dir, METRICS, fmt))
     return out | _old_side(out)
+
+
+SNAPSHOTS, ACTIVITIES, MERGED, STATUS = "snapshots", "activities", "modified_rdb", "sales_reporting_logic"
+
+
+def run_load(inputs: dict[str, DataFrame], params: BuildParams, out_dir: str, load_date: str) -> dict[str, DataFrame]:
+    """One load of a build that goes on: a snapshot ``p`` and an activity log ``dsr`` of one date.
+
+    Every table is kept by load date and only this date's part is written, so a load can be run
+    again (late or corrected exports) without the others being read whole or written.  The
+    first load is taken whole; each later one is cleaned, de-duplicated and merged past the
+    watermark of the loads before it, and its status table compares its snapshot with the last
+    one before.  Returns the load's own snapshot and status table and the merged table up to it.
+    """
+    from ..sources.loads import loads_before, merge_load, read_loads, write_load
+
+    spark = inputs["p"].sparkSession
+    base = out_dir.rstrip("/")
+    own = {name: params_of(name, inputs[name], params) for name in ("p", "dsr")}
+    before = loads_before(spark, f"{base}/{SNAPSHOTS}", load_date)
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        return spark.read.parquet(write_load(df, f"{base}/{name}", load_date))
+
+    snapshot = clean_new_snapshot(inputs["p"], own["p"]) if before else clean_potentials(inputs["p"], **own["p"].cleaning())
+    snapshot = stored(SNAPSHOTS, dedupe_keep_first(snapshot, KEY, params.load_order) if before else snapshot)
+    activities = stored(ACTIVITIES, clean_activities(inputs["dsr"], **own["dsr"].cleaning()))
+    merge_load(snapshot, activities, f"{base}/{MERGED}", load_date, first=not before)
+    merged = read_loads(spark, f"{base}/{MERGED}", upto=load_date)
+    out = {SNAPSHOTS: snapshot, MERGED: merged}
+    if before:
+        last = spark.read.parquet(f"{base}/{SNAPSHOTS}/load_date={before[-1]}")
+        srl = sales_reporting(snapshot, last, activities, merged, dsr_tiebreak=params.dsr_tiebreak,
+                              main_tiebreak=params.main_tiebreak, date_formats=own["p"].date_formats)
+        out[STATUS] = stored(STATUS, srl)
+    return out

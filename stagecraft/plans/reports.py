@@ -595,6 +595,14 @@ def q_period_label(spark, sf_dir):
     return _bounds(spark, sf_dir).select("as_of", "period", "label")
 
 
+@register("period_label_custom", "WITH " + _DATES_SQL +
+          " SELECT as_of, 'From: ' || strftime(as_of - 10, '%Y-%m-%d') || ' To: ' || strftime(as_of, '%Y-%m-%d') "
+          "AS label FROM dates")
+def q_period_label_custom(spark, sf_dir):
+    d = F.col("as_of")
+    return _dates(spark, sf_dir).select("as_of", PD.period_label_col(PD.CUSTOM, d, F.date_sub(d, 10), d).alias("label"))
+
+
 @register("format_date", O.with_ctes(
     f"SELECT \"Potential No.\", strftime(\"Modified Date\", '%Y-%m-%d') AS modified_ymd, "
     f"strftime(\"Modified Date\", '%d/%m/%Y') AS modified_dmy FROM {SRL}"))
@@ -680,14 +688,18 @@ def q_report_export(spark, sf_dir):
     return spark.read.parquet(paths["report"])
 
 
-@register("report_export_filters", "SELECT * FROM (VALUES ('Stage Name(s)', '80 - Final Quote'), "
-          "('Column', 'CB')) v(\"Filters\", \"Selected\") WHERE EXISTS (SELECT 1 FROM orders)")
+@register("report_export_filters", O.with_ctes(O.grid_sql(SRL) + O.finish_grid_sql("grid").replace(
+    "SELECT * EXCLUDE (is_total) FROM g3",
+    "SELECT * EXCLUDE (is_total), 'Column=CB; Stage Name(s)=80 - Final Quote' AS selected FROM g3")))
 def q_report_export_filters(spark, sf_dir):
+    """An exported report read back, every row with the filter block that was written beside it."""
     grid = G.finish_grid(G.stage_movement_grid(_srl(spark, sf_dir)))
     paths = WR.report_export(grid, WR.shared_dir(spark), "drill_down",
                              {"Stage Name(s)": "80 - Final Quote", "Column": "CB"},
                              names=("Stage Name(s)", "Column"))
-    return spark.read.parquet(paths["filters"])
+    pairs = F.sort_array(F.collect_list(F.concat_ws("=", "Filters", "Selected")))
+    block = spark.read.parquet(paths["filters"]).agg(F.concat_ws("; ", pairs).alias("s")).scalar()
+    return spark.read.parquet(paths["report"]).withColumn("selected", block)
 
 
 @register("details_and_history_export_history", O.with_ctes(

@@ -17,7 +17,7 @@ from ..operators import logs as LG
 from ..operators import lookup as LK
 from ..operators import sequences as SQ
 from ..operators.ranking import dedupe_keep_first
-from ..registry import PARAMS, register, tables
+from ..registry import PARAMS, raw_inputs, register, tables
 from ..sources import clustered as CL
 from ..sources import derived as dv
 from ..sources import loads as LD
@@ -25,6 +25,7 @@ from ..sources import ordered as OD
 from ..sources import readers as RD
 from ..sources import writers as WR
 from . import bucketed as BK
+from . import build as B
 from . import reports as R
 
 SRL = R.SRL
@@ -150,6 +151,25 @@ def q_dated_load_counts(spark, sf_dir):
     return LD.read_loads(spark, path).groupBy(LD.LOAD_DATE).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _two_loads(spark, sf_dir):
+    """The build as two dated loads of the raw inputs, the second run twice."""
+    raw, out = raw_inputs(spark, sf_dir), WR.shared_dir(spark)
+    B.run_load({"p": raw["p1"], "dsr": raw["dsr1"]}, PARAMS, out, "2000-01-01")
+    for _ in range(2):
+        done = B.run_load({"p": raw["p2"], "dsr": raw["dsr2"]}, PARAMS, out, "2000-01-08")
+    return done
+
+
+@register("dated_build_merged", O.with_ctes("SELECT * FROM modified_rdb ORDER BY ALL"))
+def q_dated_build_merged(spark, sf_dir):
+    return _two_loads(spark, sf_dir)[B.MERGED].drop(LD.LOAD_DATE)
+
+
+@register("dated_build_status", O.with_ctes(f"SELECT * FROM {SRL}"))
+def q_dated_build_status(spark, sf_dir):
+    return _two_loads(spark, sf_dir)[B.STATUS]
+
+
 # ------------------------------------------------------------------ W6 over buckets
 
 @register("sales_reporting_bucketed", O.with_ctes(f"SELECT * FROM {SRL}"))

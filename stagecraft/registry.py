@@ -86,6 +86,7 @@ PRESENTATION: dict[str, dict[str, tuple[str, str]]] = {
                                    "last_month_start", "last_month_end"], _DATE),
     "period_bounds": dict.fromkeys(["as_of", "start_date", "end_date"], _DATE),
     "period_label": dict.fromkeys(["as_of"], _DATE),
+    "period_label_custom": dict.fromkeys(["as_of"], _DATE),
     "potential_details": dict.fromkeys(_DETAIL_DATES, _DATE),
     "potential_details_projection": dict.fromkeys(_DETAIL_DATES, _DATE),
     "quarter_window": dict.fromkeys(["as_of", "current_quarter_start", "current_quarter_end"],
@@ -103,6 +104,7 @@ PRESENTATION: dict[str, dict[str, tuple[str, str]]] = {
     "union_by_name": dict.fromkeys(_LINEAGE_IDS, _TEXT),
     "weekly_rdb": dict.fromkeys(_LINEAGE_IDS, _TEXT),
     "dated_loads": dict.fromkeys(_LINEAGE_IDS, _TEXT),
+    "dated_build_merged": dict.fromkeys(_LINEAGE_IDS, _TEXT),
     "dated_load_counts": dict.fromkeys(["load_date"], _DATE),
     "row_number_details": dict.fromkeys(
         ["Created Date", "Last Contact Date", "Next Followup Date", "Closing Date"], _DATE),

@@ -221,3 +221,18 @@ def test_sessions_by_day_equal_the_whole_log(spark):
     closed += [(r["username"], r["ts"], None) for r in still_open.collect()]
     whole = logs.login_sessions(spark.createDataFrame(rows, schema)).collect()
     assert sorted(closed, key=str) == sorted(map(tuple, whole), key=str)
+
+
+def test_dated_build_equals_the_whole_build(spark):
+    raw, out, same = raw_inputs(spark, SF), shared_dir(spark), tables(spark, SF)
+    first = build.run_load({"p": raw["p1"], "dsr": raw["dsr1"]}, PARAMS, out, "2000-01-01")
+    assert build.STATUS not in first and first[build.MERGED].count() == same["main_rdb"].count()
+    for _ in range(2):
+        done = build.run_load({"p": raw["p2"], "dsr": raw["dsr2"]}, PARAMS, out, "2000-01-08")
+        for name, want in ((build.MERGED, same["modified_rdb"]), (build.STATUS, same["sales_reporting_logic"])):
+            got = done[name].select(*[c(n) for n in want.columns])
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # the first load again: it finds no earlier one and replaces itself only
+    again = build.run_load({"p": raw["p1"], "dsr": raw["dsr1"]}, PARAMS, out, "2000-01-01")
+    assert again[build.MERGED].count() == same["main_rdb"].count()
+    assert loads.read_loads(spark, f"{out}/{build.MERGED}").count() == same["modified_rdb"].count()
