@@ -9,8 +9,8 @@ piece ends behind such a character or one of ``CUTS``; where none follows within
 characters, pieces overlap, one from each character (one from each ``TOKEN`` of a repeated
 character).  An edit then changes the pieces around it only.  Repeats of a k-mer
 are numbered by occurrence, and each numbered k-mer is hashed once.  The top bits of the
-hash choose one of ``BINS`` bins; in each bin the two smallest k-mers are kept, put back in
-text order, and hashed as a tuple.  The fingerprint lists each filled bin and its tuple
+hash choose one of ``BINS`` bins; in each bin the two smallest k-mers are kept (a k-mer alone in
+its bin is joined by the next filled bin's smallest), put back in text order, and hashed as a tuple.  The fingerprint lists each filled bin and its tuple
 hash, so it changes with what a text says and with the order it says it in.  The likeness
 of two fingerprints is the share of bins, among those that either fills, where both have
 the same tuple.
@@ -92,11 +92,12 @@ def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     step = step.withColumn(p, F.expr(
         f"filter({c}, (x, i) -> i < 2 or shiftrightunsigned(x, {bins}) <> shiftrightunsigned(get({c}, i - 2), {bins}))"
     )).drop(c)
-    same = f"shiftrightunsigned(x, {bins}) = shiftrightunsigned(get({p}, i + 1), {bins})"
-    low = f"(x & {~pos}L)"
-    nxt = f"(get({p}, i + 1) & {~pos}L)"
-    pair = (f"case when not coalesce({same}, false) then xxhash64({low}) "
-            f"when (x & {pos}L) < (get({p}, i + 1) & {pos}L) then xxhash64({low}, {nxt}) "
+    # a bin's second smallest follows its smallest; behind a k-mer alone in its bin stands the next
+    # filled bin's smallest (behind the last one the first bin's)
+    low, after = f"(x & {~pos}L)", f"get({p}, (i + 1) % size({p}))"
+    nxt = f"({after} & {~pos}L)"
+    pair = (f"case when size({p}) = 1 then xxhash64({low}) "
+            f"when (x & {pos}L) < ({after} & {pos}L) then xxhash64({low}, {nxt}) "
             f"else xxhash64({nxt}, {low}) end")
     first = f"i = 0 or shiftrightunsigned(x, {bins}) <> shiftrightunsigned(get({p}, i - 1), {bins})"
     return step.withColumn(out, F.expr(

@@ -144,11 +144,17 @@ def brute_signature(text):
     bins = {}
     for h, i in marked:
         bins.setdefault(h >> 64 - order_minhash.BIN_BITS, []).append((h, i))
-    out = set()
-    for b, items in bins.items():
-        first = sorted(sorted(items)[:2], key=lambda x: x[1])
-        out.add(b << 16 | spark_hash(*[h for h, _ in first]) % 65536 if False else
-                b << 16 | (spark_hash(*[h for h, _ in first]) - (1 << 64 if spark_hash(*[h for h, _ in first]) >> 63 else 0)) % 65536)
+    def signed(h):
+        return h - (1 << 64 if h >> 63 else 0)
+
+    kept = sorted((signed(h), i) for items in bins.values() for h, i in sorted(items)[:2])
+    out, met = set(), set()
+    for at, (h, i) in enumerate(kept):
+        b = (h & MASK) >> 64 - order_minhash.BIN_BITS
+        if b not in met:
+            met.add(b)
+            two = sorted({(h, i), kept[(at + 1) % len(kept)]}, key=lambda x: x[1])
+            out.add(b << 16 | signed(spark_hash(*[x & MASK for x, _ in two])) % 65536)
     return out
 
 
@@ -217,6 +223,15 @@ def test_order_matters(spark):
     assert 0.2 < near < 0.8  # nearly the same k-mers, but half of the pairs change places
 
 
+def test_order_matters_in_short_texts(spark):
+    for n in (20, 60, 100):
+        rng = np.random.default_rng(n)
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(n)]
+        df = spark.createDataFrame([(" ".join(words), " ".join(words[n // 2:] + words[:n // 2]))], "a string, b string")
+        sig = order_minhash.signature(order_minhash.signature(df, "a", "s"), "b", "t")
+        assert sig.select(order_minhash.likeness("s", "t")).first()[0] < 0.75
+
+
 def unspaced_texts():
     rng = np.random.default_rng(5)
     def draw(alphabet, n):
