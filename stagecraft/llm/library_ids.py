@@ -23,6 +23,8 @@ import numpy as np
 
 #: Unicode white space as the split patterns see it (Python's ``\s`` adds U+001C-001F).
 _SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A letter or digit, then punctuation to the end: the split pattern cuts between them.
+_TAIL = re.compile("(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([,.;:!?]+)")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e]")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 GROUP = 256
@@ -44,7 +46,7 @@ def text_blocks(text: str, size: int = BLOCK):
 class LibraryIds:
     """``encode(texts)`` gives the ids of each text as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, limit: int = 300_000, limit_bytes: int = 16 << 20):
+    def __init__(self, path: str, limit: int | None = None, limit_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -62,7 +64,9 @@ class LibraryIds:
             self.bytes_of[i] = len(token) - cut
         self.cache: dict = {}
         self.older: dict = {}
-        self.limit, self.limit_bytes, self.held = limit, limit_bytes, 0
+        # words recur more than segments with their punctuation, so a smaller table serves
+        self.limit = limit or (300_000 if self.kind == "word" else 600_000)
+        self.limit_bytes, self.held = limit_bytes, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
@@ -92,15 +96,7 @@ class LibraryIds:
         found = [list(map(cache.get, p)) for p in parts]
         gaps = [(f, p, [j for j, ids in enumerate(f) if ids is None]) for f, p in zip(found, parts) if None in f]
         if gaps:
-            new = []
-            for s in set().union(*[[p[j] for j in at] for _, p, at in gaps]):
-                ids = self.older.get(s)
-                if ids is None:
-                    new.append(s)
-                else:
-                    cache[s] = ids
-            if new:
-                self._fill(new)
+            self._learn(set().union(*[[p[j] for j in at] for _, p, at in gaps]))
             for f, p, at in gaps:
                 for j in at:
                     f[j] = cache[p[j]]
@@ -109,6 +105,32 @@ class LibraryIds:
             self.older, self.cache, self.held = cache, {}, 0
         return [b"".join(f) for f in found]
 
+    def _learn(self, missing: set) -> None:
+        """Put the ids of segments into the table: from the older one, from a segment's two
+        parts where punctuation follows a letter or digit, or from the library."""
+        cache, older, new, joined = self.cache, self.older, set(), []
+        for s in missing:
+            ids = older.get(s)
+            if ids is not None:
+                cache[s] = ids
+                continue
+            cut = _TAIL.fullmatch(s) if self.kind == "byte" else None
+            if cut is None:
+                new.add(s)
+                continue
+            joined.append((s, *cut.groups()))
+            for part in cut.groups():
+                if part not in cache and part not in missing:
+                    ids = older.get(part)
+                    if ids is None:
+                        new.add(part)
+                    else:
+                        cache[part] = ids
+        if new:
+            self._fill(list(new))
+        for s, head, tail in joined:
+            cache[s] = cache[head] + cache[tail]
+
     def _fill(self, new: list) -> None:
         self.held += sum(map(len, new))
         alone = []
