@@ -2,7 +2,7 @@
 
 * Every page becomes one WARC 1.1 record, a gzip member of its own.  Of equal payloads of
   at least ``min_bytes`` the row with the smallest page_id is a ``response``; the others
-  are ``revisit`` records that name it and hold no payload.
+  are ``revisit`` records without payload that name its page, target, date and record id.
 * Each archive file comes with a locally sorted run of its captures: URL key (host parts
   reversed, as archive indexes have it), timestamp, page id, archive, offset and length.
 * The runs are merged by k-way loser trees.  While there are more than ``FAN_IN`` runs,
@@ -16,7 +16,7 @@ Files are written under names of their own attempt; a written manifest names tho
 counted, so lost executors and speculative tasks do no harm.
 
 Defined cases: a null html is an empty payload; payloads below ``min_bytes`` are always
-responses; a null url has an empty key and target; rows that repeat both the smallest
+responses; a null url has an empty key and a target that names the page; rows that repeat both the smallest
 page_id and its payload are all responses; a null page_id is never the smallest unless all
 of its group are null, which are then all responses; an empty table gives no archive and
 no row; other columns are not read.
@@ -70,34 +70,66 @@ def header_text(value: str) -> str:
 
 
 def decisions(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Pages with payload, digest, record type and, for revisits, the response's page_id."""
+    """Pages with payload, digest and, for revisits, the response's page_id, url and whether it
+    is one record (rows that repeat it are several); ``named`` marks the record they point to."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # written first, so that adaptive execution can split the join at a payload of many pages
-    again = materialize(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
-                        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-                        .where("n > 1").drop("n"), "warc-digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "n")))
+    again = materialize(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", "page_id")
+                        .agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
+                        .groupBy("digest").agg(first.alias("first"), F.sum("n").alias("total"))
+                        .where("total > 1").select("digest", F.col("first.page_id").alias("first_id"),
+                                                   F.col("first.url").alias("first_url"),
+                                                   (F.col("first.n") == 1).alias("single")), "warc-digests")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(again, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
+        "page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.col("first_url")).alias("first_url"), F.coalesce(revisit & F.col("single"), F.lit(False)).alias("single"),
+        F.coalesce(F.col("single") & F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False)).alias("named"))
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, when: str) -> bytes:
-    """One WARC record; the HTTP head keeps the payload's length, in revisits too."""
+def capture_time(page_id) -> str:
+    """Pages carry no capture time: ``FIRST_CAPTURE`` plus the id in seconds."""
+    return (FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
+
+
+def response_id(page_id, url, digest: str) -> str:
+    """The id of a response that revisits name."""
+    return record_id(page_id, capture_time(page_id), url, digest)
+
+
+def target(page_id, url) -> str:
+    """The target URI: the url, or a name of the page where there is none."""
+    return header_text(url) if url else "about:blank" if page_id is None else f"urn:page:{page_id}"
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, when: str, own_id: str | None = None,
+           first_url=None, single: bool = False) -> bytes:
+    """One WARC record; the HTTP head keeps the payload's length, in revisits too.
+
+    A revisit names its response's target, date and, where that is a ``single`` record, id.
+    """
     revisit = refers_to is not None
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {len(payload)}\r\n\r\n").encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-            f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {when} {url}')}>",
+            f"WARC-Record-ID: {own_id or response_id(page_id, url, digest)}",
             f"WARC-Date: {when}", f"WARC-Payload-Digest: sha256:{digest}",
-            f"WARC-Page-ID: {'' if page_id is None else page_id}"]
-    if url:
-        head.append(f"WARC-Target-URI: {header_text(url)}")
+            f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Target-URI: {target(page_id, url)}"]
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page: {refers_to}",
+                 f"WARC-Refers-To-Target-URI: {target(refers_to, first_url)}",
+                 f"WARC-Refers-To-Date: {capture_time(refers_to)}"]
+        if single:
+            head.append(f"WARC-Refers-To: {response_id(refers_to, first_url, digest)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -244,10 +276,7 @@ def _run_batch(runs: list[RunWriter], names: list[str]) -> pa.RecordBatch:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES,
                    archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write all records and each archive's sorted run; returns the runs (materialised).
-
-    Pages carry no capture time, so a page's is ``FIRST_CAPTURE`` plus its id in seconds.
-    """
+    """Write all records and each archive's sorted run; returns the runs (materialised)."""
     def write(batches):
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
@@ -262,12 +291,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES,
             return _run_batch([run], [f"{name}.run"])
 
         for batch in slices(batches, 256):
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, refers_to, first_url, single, named in zip(
+                    *(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, at, lines = f"archive-{uuid.uuid4().hex}", 0, []
                     out = fs.open_output_stream(f"{base}/{name}.warc.gz", compression=None)
-                when = (FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                data = gzip.compress(record(page_id, url, payload, digest, refers_to, when), 3, mtime=0)
+                when = capture_time(page_id)
+                # a place in an archive is one record's own; what revisits point to goes by its content
+                own_id = None if named else record_id(name, at)
+                data = gzip.compress(record(page_id, url, payload, digest, refers_to, when, own_id,
+                                            first_url, single), 3, mtime=0)
                 out.write(data)
                 lines.append(run_line(url_key(url), when, page_id, name, at, len(data)))
                 at += len(data)

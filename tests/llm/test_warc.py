@@ -93,3 +93,31 @@ def test_a_damaged_payload_is_noticed():
     assert warc.parse_record(data)["payload"] == b"payload"
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(data.replace(b"payload", b"Payload"))
+
+
+def test_other_readers_can_follow_the_records(spark):
+    big, other = "b" * 300, "o" * 300
+    rows = [(5, "http://a/5", big), (7, "http://a/7", big), (8, None, big), (1, "http://t/", other), (1, "http://t/", other),
+            (2, "http://t/2", other), (9, "http://s/", "short"), (9, "http://s/", "short"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder, _, index, _ = archived(spark, df)
+    fs, base = file_system(folder)
+    heads = []
+    for name in {r["archive"] for r in index.collect()}:
+        with fs.open_input_stream(f"{base}/{name}.warc.gz", compression=None) as f:
+            data = gzip.decompress(f.read())
+        heads += [dict(line.split(": ", 1) for line in part.split("\r\n\r\n")[0].split("\r\n") if ": " in line)
+                  for part in data.decode().split("WARC/1.1")[1:]]
+    assert len(heads) == len(rows) and len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    assert all(h["WARC-Target-URI"] for h in heads)
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert sorted(h["WARC-Page-ID"] for h in revisits) == ["2", "7", "8"]
+    for h in revisits:
+        if h["WARC-Refers-To-Page"] == "5":
+            first = by_id[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["WARC-Page-ID"] == "5"
+            assert first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) == (first["WARC-Target-URI"], first["WARC-Date"])
+        else:  # its response stands twice: named by target and date
+            assert "WARC-Refers-To" not in h and h["WARC-Refers-To-Target-URI"] == "http://t/"
