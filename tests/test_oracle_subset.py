@@ -11,7 +11,11 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from conftest import SMOKE  # noqa: E402
 
 NAMES = ["sales_reporting", "movement_report", "drill_down", "login_sessions",
-         "bookmark_state", "incremental_merge", "period_bounds", "top2_same_day"]
+         "bookmark_state", "incremental_merge", "period_bounds", "top2_same_day", "date_layouts",
+         "dedupe_first_over_files", "activity_asof_carry", "facets_at_once", "row_number_details",
+         "history_positions", "keys_semi_filter", "filter_in_keys_blank_report", "find_potential_history",
+         "history_export_by_key", "details_and_history_export_history", "latest_per_key", "record_counts",
+         "watermark", "potential_details_grouped", "report_export_filters"]
 
 
 @pytest.mark.parametrize("name", NAMES)

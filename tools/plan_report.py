@@ -17,7 +17,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DEFAULT = ["status_rule", "movement_report", "drill_down", "drill_down_details",
+DEFAULT = ["status_rule", "sales_reporting_bucketed", "facets_at_once", "movement_report", "drill_down", "drill_down_details",
            "report_followup", "stage_history", "login_sessions", "bookmark_state",
            "history_export_by_key"]
 
