@@ -99,11 +99,18 @@ _EXPORT_SQL = """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_
 FROM lineitem"""
 
 
+_EXPORT_ROWS = 250_000  # rows a file
+
+
 def _exported(spark, sf_dir):
-    """The line items as an export of several files whose text column holds line breaks and quotes."""
+    """The line items as an export of several files whose text column holds line breaks and quotes.
+
+    One task reads a file with line breaks, so there are more files with more rows.
+    """
     li = dv.read_table(spark, sf_dir, "lineitem")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    rows = li.orderBy(*order).select(
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // _EXPORT_ROWS))
+    rows = li.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
         F.col("l_orderkey").cast("string").alias("Potential No."),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit('\nsaid "'),
                  F.col("l_partkey").cast("string"), F.lit('", twice')).alias("Description"))

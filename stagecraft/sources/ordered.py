@@ -30,5 +30,6 @@ def number_by_file(df: DataFrame, name: str = "_seq") -> DataFrame:
     files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     starts = blocks.join(files, "_file").select(
         "_file", "_at", (F.col("_before") + F.col("_in_file") - F.col("_first")).alias("_start"))
-    return (placed.join(starts, ["_file", "_at"])
+    # one row per block: sent to the tasks, or all rows of a file would meet in one of them
+    return (placed.join(F.broadcast(starts), ["_file", "_at"])
             .withColumn(name, F.col("_start") + F.col("_id")).select(*[c(n) for n in df.columns], name))
