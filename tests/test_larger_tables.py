@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from stagecraft.operators.clean import parse_dates_dayfirst
 from stagecraft.plans import stored
 from stagecraft.sources import derived as dv
 from stagecraft.sources import ordered as OD
@@ -12,6 +13,17 @@ from stagecraft.sources import ordered as OD
 SMOKE = "/root/testdata/sf0.001"
 
 
+def test_parsing_many_date_columns_stays_compilable(spark, capsys):
+    names = [f"d{i}" for i in range(6)]
+    df = spark.range(3).select(*[F.concat(F.lit("0"), (F.col("id") + 1).cast("string"), F.lit("/02/2000 09:30")).alias(n)
+                                 for n in names])
+    out = parse_dates_dayfirst(df, names)
+    out.explain(mode="codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM leaves longer methods uncompiled
+    assert sorted(str(r["d5"]) for r in out.collect()) == [f"2000-02-0{i} 09:30:00" for i in (1, 2, 3)]
+
+
 def test_numbering_by_file_sends_only_the_block_table(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.range(40).withColumn("v", F.col("id") % 3).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(path)
