@@ -1,10 +1,12 @@
 """Forms that keep their cost in proportion on larger tables."""
 
 import os
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from stagecraft.functions import dates
 from stagecraft.operators.clean import parse_dates_dayfirst
 from stagecraft.plans import stored
 from stagecraft.sources import derived as dv
@@ -44,3 +46,24 @@ def test_export_files_stay_small_as_rows_grow(spark, monkeypatch):
     monkeypatch.setattr(stored, "_EXPORT_ROWS", max(1, rows // 40), raising=False)
     stored_files = [f for f in os.listdir(stored._exported(spark, SMOKE).removeprefix("file:")) if f.startswith("part-")]
     assert len(stored_files) >= 40
+
+
+def test_full_width_texts_parse_as_the_pattern_parser_does(spark, monkeypatch):
+    assert dates.full_width("d/M/yyyy H:mm") and dates.full_width("yyyy-MM-dd H:mm:ss")
+    assert not any(map(dates.full_width, ("d/M/yy", "ddMMyyyy", "d MMM yyyy", "d/M/yyyy H", "d/M/yyyy'T'H:mm", "d/d/yyyy", "")))
+    texts = ["01/02/2000 09:30", "1/2/2000 9:30", "31/02/2000 09:30", "29/02/2000 23:59", "29/02/1900 00:00", "01/13/2000 09:30",
+             "01/02/2000 24:00", "01/02/2000 09:60", "01/02/0000 09:30", "00/01/2000 00:00", "01/02/2000 09:30\n", " 01/02/2000 09:30",
+             "01/02/2000 09:30:61", "01/02/2000 09:30:59", "01/02/2000", "2000-02-01", "01-02-2000 09:30", "+1/02/2000 09:30",
+             "01/02/20000 09:30", "٠١/02/2000 09:30", "", None, "x", "1 /02/2000 09:30", "25/12/9999 23:59", "12/25/2000"]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choice("0123456789/ :") if rnd.random() < 0.1 else x for x in "07/11/2003 21:45") for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    layouts = [dates.DAYFIRST_FORMATS, ("d/M/yyyy", "M/d/yyyy"), ("yyyy-MM-dd",), ("M/d/yyyy H:mm",)]
+
+    def rows():
+        return [tuple(r) for r in df.select("t", *[dates.parse_dayfirst(F.col("t"), f).cast("string") for f in layouts]).collect()]
+
+    got = rows()
+    monkeypatch.setattr(dates, "full_width", lambda layout: None)
+    assert got == rows()
+    assert got[0][1] == "2000-02-01 09:30:00"
