@@ -91,7 +91,8 @@ def q_watermark(spark, sf_dir):
 def q_sales_reporting(spark, sf_dir):
     t = tables(spark, sf_dir)
     return ST.sales_reporting(t["p2rdb_deduped"], t["p1rdb"], t["dsr2rdb"], t["modified_rdb"],
-                              dsr_tiebreak=PARAMS.dsr_tiebreak, main_tiebreak=PARAMS.main_tiebreak)
+                              dsr_tiebreak=PARAMS.dsr_tiebreak, main_tiebreak=PARAMS.main_tiebreak,
+                              busy=ST.busy_keys(t["dsr2rdb"]))
 
 
 @register("status_six_cases", O.with_ctes(
@@ -103,7 +104,8 @@ def q_status_six_cases(spark, sf_dir):
     main = t["modified_rdb"].filter(c("DSR Type").isNull())
     cols = [KEY] + [n for n in SRL_COLUMNS if n.startswith(("PS ", "CS ", "Previous", "Current"))]
     return ST.status_six_cases(t["p2rdb"], t["dsr2rdb"], main, dsr_tiebreak=PARAMS.dsr_tiebreak,
-                               main_tiebreak=PARAMS.main_tiebreak).select(*[c(n) for n in cols])
+                               main_tiebreak=PARAMS.main_tiebreak,
+                               busy=ST.busy_keys(t["dsr2rdb"])).select(*[c(n) for n in cols])
 
 
 @register("duplicate_rows", O.with_ctes(

@@ -1,5 +1,6 @@
 """Forms that keep their cost in proportion on larger tables."""
 
+import datetime as dt
 import os
 import random
 import re
@@ -7,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from stagecraft.functions import dates
+from stagecraft.operators import status
 from stagecraft.operators.clean import parse_dates_dayfirst
 from stagecraft.plans import stored
 from stagecraft.sources import derived as dv
@@ -67,3 +69,23 @@ def test_full_width_texts_parse_as_the_pattern_parser_does(spark, monkeypatch):
     monkeypatch.setattr(dates, "full_width", lambda layout: None)
     assert got == rows()
     assert got[0][1] == "2000-02-01 09:30:00"
+
+
+def _activities(spark):
+    rnd, day = random.Random(5), dt.datetime(2024, 3, 1)
+    rows = [(rnd.choice(["a", "b", "b", "b", "c", None]), rnd.choice([None, day + dt.timedelta(days=rnd.randrange(4), hours=rnd.randrange(3))]),
+             rnd.choice([None, day + dt.timedelta(hours=rnd.randrange(9))]), f"O{i}", f"N{i}", i) for i in range(150)]
+    return spark.createDataFrame(rows, "`Potential No.` string, `Contacted Date` timestamp_ntz, `Created Date` timestamp_ntz, "
+                                       "`Original Stage` string, `New Stage` string, seq long")
+
+
+def test_day_summary_is_shuffled_once_by_key(spark):
+    dsr = _activities(spark)
+    assert sorted(status.busy_keys(dsr, most=40)) == ["b"] and status.busy_keys(dsr) == []
+    want = sorted(map(str, status.activity_day_summary(dsr, tiebreak=["seq"]).collect()))
+    for busy in ([], ["b"], ["a", "b", "c"]):
+        names = status.activity_day_summary(dsr, tiebreak=["seq"]).columns
+        days = status.activity_day_summary(dsr, tiebreak=["seq"], busy=busy)
+        assert sorted(map(str, days.select(*names).collect())) == want
+    plan = status.activity_day_summary(dsr, tiebreak=["seq"], busy=[]).groupBy("_k").agg(F.max("_last"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
