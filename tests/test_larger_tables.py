@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from stagecraft.columns import KEY, c
 from stagecraft.functions import dates
-from stagecraft.operators import status
+from stagecraft.operators import asof, status
 from stagecraft.operators.clean import parse_dates_dayfirst
 from stagecraft.plans import stored
 from stagecraft.sources import derived as dv
@@ -89,3 +90,18 @@ def test_day_summary_is_shuffled_once_by_key(spark):
         assert sorted(map(str, days.select(*names).collect())) == want
     plan = status.activity_day_summary(dsr, tiebreak=["seq"], busy=[]).groupBy("_k").agg(F.max("_last"))
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_asof_of_calm_keys_is_shuffled_once(spark, monkeypatch):
+    right = _activities(spark)
+    left = spark.createDataFrame([("a", 0), ("b", 1), ("b", 3), ("c", None), ("d", 2), (None, 2)], "`Potential No.` string, n int").select(
+        c(KEY), "n", F.timestamp_add("DAY", F.col("n"), F.lit("2024-03-02").cast("timestamp_ntz")).alias("md"))
+
+    def found(blocks=None):
+        return asof.asof_before(left, right, KEY, F.col("md"), c("Contacted Date"), F.struct(c("New Stage"), "seq"), [c("seq")], blocks=blocks)
+
+    want = sorted(map(str, found(blocks=3).collect()))
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and sorted(map(str, found().collect())) == want
+    monkeypatch.setattr(status, "BUSY_ROWS", 40)
+    assert sorted(map(str, found().collect())) == want
