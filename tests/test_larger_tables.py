@@ -11,7 +11,8 @@ from stagecraft.columns import KEY, c
 from stagecraft.functions import dates
 from stagecraft.operators import asof, status
 from stagecraft.operators.clean import parse_dates_dayfirst
-from stagecraft.plans import stored
+from stagecraft.plans import build, stored
+from stagecraft.registry import PARAMS, raw_inputs
 from stagecraft.sources import derived as dv
 from stagecraft.sources import ordered as OD
 
@@ -105,3 +106,26 @@ def test_asof_of_calm_keys_is_shuffled_once(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and sorted(map(str, found().collect())) == want
     monkeypatch.setattr(status, "BUSY_ROWS", 40)
     assert sorted(map(str, found().collect())) == want
+
+
+def test_build_moves_the_snapshot_once_for_dedupe_and_flag(spark, tmp_path, monkeypatch):
+    flagged = []
+    monkeypatch.setattr(build, "stored_snapshot", lambda p2, p1, real=build.stored_snapshot: flagged.append(p2) or real(p2, p1))
+    out = build.run_build(raw_inputs(spark, SMOKE), PARAMS, str(tmp_path))
+    plan = build.stored_snapshot(flagged[0], out["p1rdb"])._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning(Potential No." in x]
+    assert "WindowGroupLimit" in plan and len(wide) == 1  # the window's exchange serves the join
+    p2 = out["p2rdb_deduped"]
+    assert p2.columns == out["p2rdb_all"].columns and "Flag" not in p2.columns
+    assert out["p2rdb"].select(*map(c, p2.columns)).exceptAll(p2).count() == 0 and p2.count() == out["p2rdb"].count()
+    twice = out["p2rdb_all"].groupBy(c(KEY)).count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert out["p2rdb_duplicates"].count() == twice
+
+
+def test_stored_tables_have_files_of_few_rows(spark, tmp_path, monkeypatch):
+    from stagecraft.sources import writers
+
+    monkeypatch.setattr(writers, "STORED_ROWS", 500)
+    out = build.run_build(raw_inputs(spark, SMOKE), PARAMS, str(tmp_path))
+    per_file = out["modified_rdb"].groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert per_file <= 500
