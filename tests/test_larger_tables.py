@@ -7,11 +7,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from stagecraft import registry
 from stagecraft.columns import KEY, c
 from stagecraft.functions import dates
-from stagecraft.operators import asof, status
+from stagecraft.operators import asof, lookup, status
 from stagecraft.operators.clean import parse_dates_dayfirst
-from stagecraft.plans import build, stored
+from stagecraft.plans import build, reports, stored
 from stagecraft.registry import PARAMS, raw_inputs
 from stagecraft.sources import derived as dv
 from stagecraft.sources import ordered as OD
@@ -129,3 +130,48 @@ def test_stored_tables_have_files_of_few_rows(spark, tmp_path, monkeypatch):
     out = build.run_build(raw_inputs(spark, SMOKE), PARAMS, str(tmp_path))
     per_file = out["modified_rdb"].groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert per_file <= 500
+
+
+def test_stored_inputs_have_the_rows_of_the_raw_ones(spark):
+    raw, kept = raw_inputs(spark, SMOKE), registry.stored_inputs(spark, SMOKE)
+    for name, df in raw.items():
+        assert kept[name].dtypes == df.dtypes
+        assert kept[name].exceptAll(df).count() == 0 and df.exceptAll(kept[name]).count() == 0
+    plan = kept["dsr1"].unionByName(kept["dsr2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # the line items are joined once, before
+
+
+def test_tables_stored_by_key_move_no_rows_for_work_by_key(spark):
+    t = registry.tables(spark, SMOKE)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [registry.QUERIES[name](spark, SMOKE)
+                 for name in ("sales_reporting", "keys_semi_filter", "filter_in_keys_blank_report")]
+        found.append(build.stored_snapshot(build.dedupe_keep_first(t["p2rdb_all"], KEY, PARAMS.load_order), t["p1rdb"]))
+        # history_export_by_key: only the export's own order moves rows
+        found.append(lookup.history_for_export(t["modified_rdb"], reports._cb_keys(spark, SMOKE)))
+        for df in found:
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_build_by_key_equals_the_plain_one_also_with_a_crowded_key(spark, tmp_path, monkeypatch):
+    want = build.run_build(raw_inputs(spark, SMOKE), PARAMS, str(tmp_path / "plain"))
+    for most in (50_000, 3):
+        monkeypatch.setattr(status, "BUSY_ROWS", most)
+        got = build.run_build(registry.stored_inputs(spark, SMOKE), PARAMS, str(tmp_path / f"by_key_{most}"), by_key=True)
+        assert set(got) == set(want)
+        bucketed = "Bucketed: true" in got["p2rdb"].groupBy(c(KEY)).count()._jdf.queryExecution().executedPlan().toString()
+        assert bucketed == (most > 3)  # a crowded key: plain files, so that no task takes all its rows
+        for name in want:
+            assert got[name].columns == want[name].columns
+            assert got[name].exceptAll(want[name]).count() == 0 and want[name].exceptAll(got[name]).count() == 0, name
+
+
+def test_crowded_key_counts_null_as_a_key(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [(None,)] * 5, "`Potential No.` string")
+    one = spark.createDataFrame([("b",)], "`Potential No.` string")
+    assert status.crowded_key(one, df, most=4) and not status.crowded_key(one, df, most=5)
+    assert status.crowded_key(df.where("`Potential No.` is not null"), most=2)
