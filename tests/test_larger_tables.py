@@ -175,3 +175,21 @@ def test_crowded_key_counts_null_as_a_key(spark):
     one = spark.createDataFrame([("b",)], "`Potential No.` string")
     assert status.crowded_key(one, df, most=4) and not status.crowded_key(one, df, most=5)
     assert status.crowded_key(df.where("`Potential No.` is not null"), most=2)
+
+
+def test_history_of_calm_keys_is_numbered_without_blocks(spark, monkeypatch):
+    acts = _activities(spark).withColumn("DSR Type", F.lit("DSR"))
+
+    def numbers():
+        rows = lookup.numbered_history(acts, tiebreak=["seq"])
+        return rows, sorted(map(str, rows.collect()))
+
+    monkeypatch.setattr(status, "BUSY_ROWS", 0)  # all keys in blocks, the form for busy ones
+    want = numbers()[1]
+    assert len(want) == acts.where("`Potential No.` is not null").count()
+    for most in (40, 50_000):
+        monkeypatch.setattr(status, "BUSY_ROWS", most)
+        rows, got = numbers()
+        assert got == want and rows.schema["No."].dataType.typeName() == "long"
+    plan = lookup.numbered_history(acts, tiebreak=["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Scan ExistingRDD[Potential No." in plan  # no checkpoint
