@@ -193,3 +193,20 @@ def test_history_of_calm_keys_is_numbered_without_blocks(spark, monkeypatch):
         assert got == want and rows.schema["No."].dataType.typeName() == "long"
     plan = lookup.numbered_history(acts, tiebreak=["seq"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Scan ExistingRDD[Potential No." in plan  # no checkpoint
+
+
+def test_loads_by_key_equal_the_build_and_move_no_activities(spark, tmp_path, monkeypatch):
+    given, same = registry.stored_inputs(spark, SMOKE), registry.tables(spark, SMOKE)
+    seen = []
+    monkeypatch.setattr(build, "sales_reporting", lambda *a, real=build.sales_reporting, **k: seen.append(a) or real(*a, **k))
+    for most, rounds in ((50_000, 2), (3, 1)):
+        monkeypatch.setattr(status, "BUSY_ROWS", most)
+        out = str(tmp_path / f"loads_{most}")
+        build.run_load({"p": given["p1"], "dsr": given["dsr1"]}, PARAMS, out, "2000-01-01", by_key=True)
+        for _ in range(rounds):  # a rerun replaces its own load
+            done = build.run_load({"p": given["p2"], "dsr": given["dsr2"]}, PARAMS, out, "2000-01-08", by_key=True)
+        days = status.activity_day_summary(seen[-1][2], busy=[])._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in days) == (most == 3)
+        for name, want in ((build.MERGED, same["modified_rdb"]), (build.STATUS, same["sales_reporting_logic"])):
+            got = done[name].select(*[c(n) for n in want.columns])
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
